@@ -101,7 +101,7 @@ def visual_documents(visuals: DataFrame) -> DataFrame:
     titles = F.filter(
         F.transform(
             F.col("doc.visual.visualContainerObjects.title"),
-            lambda t: F.trim(F.lit("'"), t["properties"]["text"]["expr"]["Literal"]["Value"]),
+            lambda t: F.trim(t["properties"]["text"]["expr"]["Literal"]["Value"], F.lit("'")),
         ),
         lambda v: v.isNotNull() & (v != ""),
     )

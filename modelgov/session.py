@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,9 +44,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and return a scan of it.
+    """Write ``df`` to the shared checkpoint folder and return a scan of the written table.
 
-    Survives executor loss and stops iterative plans from growing.
+    The work is done once, survives executor loss, stops iterative plans from growing, and
+    leaves sizes from which the optimizer picks join strategies.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/modelgov-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

@@ -355,7 +355,7 @@ LENSES: dict[str, str] = {
         FROM lens_arrows""",
     "lens_tom_partitions": """
         SELECT o_custkey AS model_id, o_orderkey AS ID, o_orderkey AS TableID, CASE WHEN o_orderstatus = 'O' THEN '' ELSE 'part' || CAST(o_orderkey AS STRING) END AS Name,
-               CAST(substr(o_orderpriority, 1, 1) AS INT) AS Type, CASE WHEN o_orderstatus = 'F' THEN 1 END AS Mode,
+               CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 4 ELSE 1 END AS Type, CASE WHEN o_orderpriority = '1-URGENT' THEN 1 END AS Mode,
                'let' || chr(10) || 'Source' AS QueryDefinition
         FROM orders""",
     "lens_tom_roles": "SELECT c_custkey AS model_id, c_nationkey AS ID, c_mktsegment AS Name, c_name AS Description FROM customer",

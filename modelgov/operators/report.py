@@ -122,16 +122,13 @@ def page_visuals(pages: DataFrame, visuals: DataFrame) -> DataFrame:
 
 def visual_labels(visuals: DataFrame) -> DataFrame:
     """Data visuals with a label: the title, else the type name numbered per page and type."""
-    data = visuals.filter(~F.col("visual_type").isin(DECORATIVE_TYPES))
-    titled = data.filter(F.col("title") != "").withColumn("visual_label", F.col("title"))
-    auto = number_within(
-        data.filter(F.col("title") == ""), ["model_id", "report_id", "page_id", "visual_type"], ["visual_id"], "_n"
+    data = visuals.filter(~F.col("visual_type").isin(DECORATIVE_TYPES)).withColumn("_titled", F.col("title") != "")
+    numbered = number_within(
+        data, ["model_id", "report_id", "page_id", "visual_type", "_titled"], ["visual_id"], "_n"
     )
     name = visual_type_name(F.col("visual_type"))
-    auto = auto.withColumn(
-        "visual_label", F.when(F.col("_n") == 1, name).otherwise(F.concat(name, F.lit(" ("), F.col("_n").cast("string"), F.lit(")")))
-    ).drop("_n")
-    return titled.unionByName(auto)
+    counted = F.when(F.col("_n") == 1, name).otherwise(F.concat(name, F.lit(" ("), F.col("_n").cast("string"), F.lit(")")))
+    return numbered.withColumn("visual_label", F.when(F.col("_titled"), F.col("title")).otherwise(counted)).drop("_n", "_titled")
 
 
 def visual_fields(labelled: DataFrame) -> DataFrame:

@@ -33,30 +33,55 @@ def _name_after(text: Column, pattern: str) -> Column:
     )
 
 
+def _header(line: Column, pattern: str, groups: int) -> Column:
+    """Groups of a header line as an array, taken with one replace; one element if no match."""
+    marks = "".join(f"${i}\u0001" for i in range(1, groups + 1))
+    return F.split(F.regexp_replace(line, pattern, marks), "\u0001")
+
+
+def _first_line(text: Column) -> Column:
+    return F.substring_index(text, "\n", 1)
+
+
+def _either(quoted: Column, bare: Column) -> Column:
+    return F.nullif(F.when(quoted != "", F.replace(quoted, F.lit("''"), F.lit("'"))).otherwise(bare), F.lit(""))
+
+
 def declared_table(content: Column) -> Column:
     """Table name declared by a file, or null when the file declares none."""
-    return _name_after(content, rf"(?md)\Atable\s+(?:{QUOTED}|([^\n]+?))\s*$")
+    parts = _header(_first_line(content), rf"\Atable\s+(?:{QUOTED}|(.+?))\s*\z", 2)
+    return F.when(F.size(parts) > 1, _either(parts[0], parts[1]))
 
 
 def block_texts(content: Column) -> Column:
     return F.split(content, BLOCK_SPLIT)
 
 
-def block_kind(block: Column) -> Column:
-    return F.nullif(
-        F.regexp_extract(block, r"\A\t(column|measure|hierarchy|partition|annotation)\s", 1), F.lit("")
-    )
+_HEADER = rf"\A\t(column|measure|hierarchy|partition|annotation)\s+{NAME}\s*(=.*)?\z"
 
 
-def block_name(block: Column) -> Column:
-    """Name of a column, measure or hierarchy block; null for the rest."""
-    kind = block_kind(block)
-    return (
-        F.when(kind == "measure", _name_after(block, rf"(?d)\A\tmeasure\s+{NAME}\s*="))
-        .when(kind == "column", _name_after(block, rf"(?md)\A\tcolumn\s+{NAME}\s*(?:=.*)?$"))
-        .when(kind == "hierarchy", _name_after(block, rf"(?md)\A\thierarchy\s+{NAME}\s*$"))
+def block_structs(content: Column) -> Column:
+    """array<struct<no, kind, name, calculated, block>>, the text before the first block included.
+
+    One regular expression per block reads its header.  ``kind`` is null for text that is no
+    block; only columns, measures and hierarchies have names, and a measure needs its '='.
+    """
+    split = F.transform(
+        block_texts(content),
+        lambda b, i: F.struct(i.alias("no"), _header(_first_line(b), _HEADER, 4).alias("h"), b.alias("block")),
     )
 
+    def described(x: Column) -> Column:
+        kind = F.when(F.size(x["h"]) > 1, x["h"][0])
+        has_expression = F.coalesce(F.get(x["h"], F.lit(3)) != "", F.lit(False))
+        named = kind.isin("column", "hierarchy") | ((kind == "measure") & has_expression)
+        return F.struct(
+            x["no"].alias("no"), kind.alias("kind"), F.when(named, _either(x["h"][1], x["h"][2])).alias("name"),
+            F.coalesce((kind == "column") & has_expression, F.lit(False)).alias("calculated"), x["block"].alias("block"),
+        )
+
+    return F.transform(split, described)
+
 
 def parse_tables(files: DataFrame) -> DataFrame:
     """(model_id, path, table_name) of every file that declares a table."""
@@ -66,15 +91,15 @@ def parse_tables(files: DataFrame) -> DataFrame:
 
 
 def blocks(files: DataFrame) -> DataFrame:
-    """(model_id, path, table_name, block_no, kind, name, block) of every table file."""
+    """(model_id, path, table_name, block_no, kind, name, calculated, block) of every table file.
+
+    Everything is read inside the generator, so later filters only look at its output.
+    """
+    found = F.filter(block_structs(F.col("content")), lambda b: b["kind"].isNotNull())
     return (
-        files.withColumn("table_name", declared_table(F.col("content")))
-        .filter(F.col("table_name").isNotNull())
-        .select("model_id", "path", "table_name", F.posexplode(block_texts(F.col("content"))).alias("block_no", "block"))
-        .withColumn("kind", block_kind(F.col("block")))
-        .filter(F.col("kind").isNotNull())
-        .withColumn("name", block_name(F.col("block")))
-        .select("model_id", "path", "table_name", "block_no", "kind", "name", "block")
+        files.select("model_id", "path", "content", declared_table(F.col("content")).alias("table_name"))
+        .select("model_id", "path", "table_name", F.inline(F.when(F.col("table_name").isNotNull(), found)))
+        .withColumnRenamed("no", "block_no")
     )
 
 
@@ -83,16 +108,12 @@ def property_value(block: Column, prop: str) -> Column:
     return strip(F.regexp_extract(block, rf"(?md)^\t\t{prop}:\s*(.+?)$", 1))
 
 
-def is_calculated(block: Column) -> Column:
-    return block.rlike(rf"(?md)\A\tcolumn\s+(?:{QUOTED}|[^'=\n]+?)\s*=")
-
-
 def parse_columns(blocks_df: DataFrame) -> DataFrame:
     """Column declarations with their source column ('' when none is given)."""
     return blocks_df.filter((F.col("kind") == "column") & F.col("name").isNotNull()).select(
         "model_id", "path", "table_name", "block_no", F.col("name").alias("column_name"),
         property_value(F.col("block"), "sourceColumn").alias("source_column"),
-        is_calculated(F.col("block")).alias("calculated"),
+        "calculated",
     )
 
 
@@ -308,8 +329,7 @@ def block_ranges(files: DataFrame) -> DataFrame:
 def dax_blocks(blocks_df: DataFrame) -> DataFrame:
     """Declaration plus indented lines of calculated columns and measures, on one line."""
     text = F.regexp_extract("block", r"\A[^\n]*+(?:\n(?:\t\t[^\n]*+|[ \t]*+(?=\n|\z)))*+", 0)
-    calc = (F.col("kind") == "column") & is_calculated(F.col("block"))
-    return blocks_df.filter(((F.col("kind") == "measure") | calc) & F.col("name").isNotNull()).select(
+    return blocks_df.filter(((F.col("kind") == "measure") | F.col("calculated")) & F.col("name").isNotNull()).select(
         "model_id", "path", "table_name", "kind", "name", F.replace(text, F.lit("\n"), F.lit(" ")).alias("dax_text")
     )
 

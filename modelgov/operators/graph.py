@@ -139,6 +139,9 @@ def measure_closure(formulas: DataFrame, refs: DataFrame) -> DataFrame:
     the same name in the same formula hides them); bare column names are not recorded.  The
     measure itself is part of its rows.
     """
+    # Both relations are read several times and come from text, so they are written once.
+    formulas = materialise(formulas.select("model_id", "path", "table_name", "measure"))
+    refs = materialise(refs)
     owner = F.struct(F.col("table_name").alias("t"), F.col("measure").alias("m"))
     home = formulas.groupBy("model_id", F.col("measure").alias("ref_column")).agg(
         F.min(F.struct("path", "table_name"))["table_name"].alias("ref_home")

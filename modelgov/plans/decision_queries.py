@@ -93,6 +93,7 @@ def in_relationship(ctx):
 
 def flagged(ctx):
     """Both flags along one master; same rows as joining the two flagged relations by id."""
+    ctx.share("lens_columns")
     return decide.base_decisions(usage.used_in_relationship(in_report(ctx), cq.names(ctx)))
 
 
@@ -132,6 +133,7 @@ DECISION_COLS = f"{MASTER_COLS}, used_in_report, used_in_relationship, remove_co
 
 @query("column_decisions", f"WITH {BASE_CTES} SELECT {DECISION_COLS} FROM base")
 def _decisions(ctx):
+    ctx.share("lens_columns")
     return decide.column_decisions(in_report(ctx), in_relationship(ctx))
 
 

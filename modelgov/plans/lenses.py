@@ -402,19 +402,23 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def lens(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A lens over the tables of ``sf_dir``.
+def lens(spark: SparkSession, sf_dir: str, name: str, written: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A lens over the tables of ``sf_dir``; ``written`` lenses are read, not built again.
 
     Lenses that render text are spread by table first: the rows are narrow before and wide
     after, and reading text is what costs time.
     """
-    sql = with_lenses(f"SELECT * FROM {name}")
+    ready = dict(written or {})
+    if name in ready:
+        return ready[name]
+    if "lens_sources" in needed(LENSES[name]) and "lens_sources" not in ready:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ready["lens_sources"] = lens(spark, sf_dir, "lens_sources").repartition(parts, "table_id")
+    sql = with_lenses(f"SELECT * FROM {name}", given=tuple(ready))
     for table in BASE_TABLES:
         if re.search(rf"\b{table}\b", sql):
             base(spark, sf_dir, table).createOrReplaceTempView(table)
-    if "lens_sources" not in needed(LENSES[name]):
-        return spark.sql(sql)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spark.sql(with_lenses("SELECT * FROM lens_sources")).repartition(parts, "table_id").createOrReplaceTempView("spread_sources")
-    rest = with_lenses(f"SELECT * FROM {name}", given=("lens_sources",))
-    return spark.sql(rest.replace("lens_sources", "spread_sources"))
+    for other, df in ready.items():
+        if re.search(rf"\b{other}\b", sql):
+            df.createOrReplaceTempView(other)
+    return spark.sql(sql)

@@ -6,12 +6,13 @@ A query takes a context over one scale-factor folder.  All of them read whole ta
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import textparse as tp
+from ..session import materialise
 from .lenses import base, lens, with_lenses
 
 
@@ -19,12 +20,19 @@ from .lenses import base, lens, with_lenses
 class Context:
     spark: SparkSession
     sf_dir: str
+    written: dict[str, DataFrame] = field(default_factory=dict)
 
     def base(self, name: str) -> DataFrame:
         return base(self.spark, self.sf_dir, name)
 
     def lens(self, name: str) -> DataFrame:
-        return lens(self.spark, self.sf_dir, name)
+        return lens(self.spark, self.sf_dir, name, self.written)
+
+    def share(self, *names: str) -> None:
+        """Write lenses that one query reads many times; later lenses build on the tables."""
+        for name in names:
+            if name not in self.written:
+                self.written[name] = materialise(self.lens(name))
 
     @cached_property
     def files(self) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import graph
 from ..operators import report as rp
 from ..operators import textparse as tp
+from ..session import materialise
 from . import catalog_queries as cq
 from .registry import query
 from .text_queries import BASE_FORMULA, K, TOTAL_FORMULA
@@ -47,7 +49,8 @@ def visuals(ctx):
 
 
 def labelled(ctx):
-    return rp.visual_labels(visuals(ctx))
+    """Labelled visuals; documents are read once and written, for they are read again below."""
+    return rp.visual_labels(materialise(visuals(ctx)))
 
 
 @query("page_visuals", f"SELECT {IDS}, page_name, visual_id, visual_type, title FROM ({VISUALS}) v")
@@ -169,16 +172,20 @@ def _validate(ctx):
 
 def usage(ctx):
     """All usage rows of all reports, checked against the catalog."""
-    f, c = cq.formulas(ctx), cq.closure(ctx)
-    lab = labelled(ctx)
-    fields = rp.expand_measures(rp.visual_fields(lab), f, c)
+    f = materialise(cq.formulas(ctx))
+    c = materialise(graph.measure_closure(f, tp.measure_refs(f)))
+    lab = materialise(labelled(ctx))
+    fields = materialise(rp.expand_measures(rp.visual_fields(lab), f, c))
     parts = [
         rp.expand_measures(rp.report_filters(ctx.lens("lens_report_files")), f, c),
         rp.expand_measures(rp.page_filters(pages(ctx)), f, c),
         fields,
         rp.expand_measures(rp.visual_filters(lab, fields), f, c),
     ]
-    return rp.validate_refs(rp.field_usage(parts), cq.catalog_columns(ctx)).filter(F.col("status") != "dropped").drop("status", "field_type")
+    names = tp.parse_columns(ctx.blocks).select("model_id", "path", "table_name", "column_name").unionByName(
+        f.select("model_id", "path", "table_name", F.col("measure").alias("column_name"))
+    )
+    return rp.validate_refs(rp.field_usage(parts), materialise(names)).filter(F.col("status") != "dropped").drop("status", "field_type")
 
 
 USAGE_COLS = "model_id, report_id, page_name, visual_label, visual_type, ui_field, usage_label, formula, table_name, column_name"

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 KEY_SEP = "$$"
 
+# White space of any script, as one character class.
+SPACE = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
 
 def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -14,12 +17,12 @@ def _c(col: Column | str) -> Column:
 
 def strip(col: Column | str) -> Column:
     """Drop white space (tabs and newlines included) at both ends."""
-    return F.regexp_replace(_c(col), r"(?U)\A\s+|\s+\z", "")
+    return F.regexp_replace(_c(col), rf"\A{SPACE}+|{SPACE}+\z", "")
 
 
 def clean_text(col: Column | str) -> Column:
     """Null becomes empty, runs of white space become one blank, ends are trimmed."""
-    return F.trim(F.regexp_replace(F.coalesce(_c(col), F.lit("")), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(_c(col), F.lit("")), rf"{SPACE}+", " "))
 
 
 def normalize_key(col: Column | str) -> Column:

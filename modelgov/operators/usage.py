@@ -6,18 +6,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import (
-    blank_to_null, build_key, clean_text, key_column, norm_pair, normalize_key,
+    blank_to_null, build_key, clean_text, key_column, normalize_key,
 )
+from ..session import materialise
 
 FLAGS = ["slicer", "visual", "filter", "measure"]
 
 
+def distinct_uses(usage: DataFrame) -> DataFrame:
+    """Equal usage rows as one row with a count (``n_uses``).
+
+    Reports repeat the same reference many times; text work and shuffles after this step see
+    each form once, however popular a field is.
+    """
+    return usage.groupBy(
+        "model_id", "table_name", "column_names", "ui_field", "usage_label",
+        F.when(blank_to_null(F.col("formula")).isNotNull(), "formula").alias("formula"),
+    ).agg(F.count("*").alias("n_uses"))
+
+
 def usage_explode(usage: DataFrame) -> DataFrame:
     """One row per used name: comma lists are split, measure rows also name their field.
 
-    ``usage``: model_id, table_name, column_names, ui_field, usage_label, formula.  Both steps
-    happen in one generator, so the usage relation is read once.
+    ``usage``: model_id, table_name, column_names, ui_field, usage_label, formula, and n_uses
+    after ``distinct_uses``.  Both steps happen in one generator, so usage is read once.
     """
+    weight = ["n_uses"] if "n_uses" in usage.columns else []
     has_formula = blank_to_null(F.col("formula")).isNotNull()
     names = F.filter(
         F.transform(F.split(F.coalesce("column_names", F.lit("")), ","), clean_text), lambda n: n != ""
@@ -27,7 +41,7 @@ def usage_explode(usage: DataFrame) -> DataFrame:
         usage.select(
             "model_id", clean_text("table_name").alias("table_name"),
             F.explode(F.when(has_formula, doubled).otherwise(names)).alias("column_name"),
-            clean_text("usage_label").alias("usage_label"), has_formula.alias("has_formula"),
+            clean_text("usage_label").alias("usage_label"), has_formula.alias("has_formula"), *weight,
         ).filter(F.col("column_name") != "")
     )
 
@@ -45,7 +59,8 @@ def field_usage_counts(classified: DataFrame) -> DataFrame:
 
     Partial sums before the shuffle keep a very popular field cheap.
     """
-    sums = [F.sum(f).alias(f) for f in FLAGS]
+    n = F.col("n_uses") if "n_uses" in classified.columns else F.lit(1)
+    sums = [F.sum(F.col(f) * n).alias(f) for f in FLAGS]
     return (
         classified.groupBy("model_id", "table_name", "column_name").agg(*sums)
         .withColumn("frequency", F.col("slicer") + F.col("visual") + F.col("filter") + F.col("measure"))
@@ -79,7 +94,7 @@ def used_in_report(master: DataFrame, counts: DataFrame, as_int: bool = True) ->
     Rows that are not measures get a private name key, so the second join neither matches
     them nor piles them up on one null key.
     """
-    used = used_keys(counts)
+    used = materialise(used_keys(counts))
     keys = used.select("model_id", "key_norm").withColumn("_by_key", F.lit(True))
     names = used.select("model_id", "name_norm").distinct().withColumn("_by_name", F.lit(True))
     flag = F.coalesce("_by_key", F.lit(False)) | F.coalesce("_by_name", F.lit(False))

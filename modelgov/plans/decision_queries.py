@@ -39,7 +39,8 @@ def classified(ctx):
 
 
 def counts(ctx):
-    return usage.field_usage_counts(classified(ctx))
+    uses = usage.distinct_uses(ctx.lens("lens_usage"))
+    return usage.field_usage_counts(usage.usage_classify(usage.usage_explode(uses)))
 
 
 @query("usage_explode", EXPLODED)

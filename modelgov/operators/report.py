@@ -133,10 +133,12 @@ def visual_labels(visuals: DataFrame) -> DataFrame:
 
 def visual_fields(labelled: DataFrame) -> DataFrame:
     """One row per decoded projection of a visual, with its role and usage label."""
-    role = F.explode(F.col("roles")).alias("role", "state")
+    # Outer generators get no inferred size filter, which would parse the document again.
+    role = F.explode_outer(F.col("roles")).alias("role", "state")
     return (
         labelled.select("model_id", "report_id", "page_id", "page_name", "visual_id", "visual_type", "visual_label", role)
-        .select("*", F.posexplode("state.projections").alias("pos", "p"))
+        .select("*", F.posexplode_outer("state.projections").alias("pos", "p"))
+        .filter(F.col("p").isNotNull())
         .withColumn("f", decode_field(F.col("p.field")))
         .filter(F.col("f").isNotNull())
         .select(
@@ -153,7 +155,8 @@ def filter_fields(docs: DataFrame, label: str) -> DataFrame:
     """Decoded filters of a document relation; measures get a tagged label."""
     keep = [c for c in docs.columns if c != "filters"]
     return (
-        docs.select(*keep, F.explode("filters").alias("flt"))
+        docs.select(*keep, F.explode_outer("filters").alias("flt"))
+        .filter(F.col("flt").isNotNull())
         .withColumn("f", decode_field(F.col("flt.field")))
         .filter(F.col("f").isNotNull())
         .select(

@@ -68,8 +68,9 @@ def _labels(ctx):
 def _decode(ctx):
     docs = rp.visual_documents(ctx.lens("lens_visual_files"))
     return (
-        docs.select("model_id", "visual_id", F.explode("roles").alias("role", "state"))
-        .select("model_id", "visual_id", "role", F.posexplode("state.projections").alias("pos", "p"))
+        docs.select("model_id", "visual_id", F.explode_outer("roles").alias("role", "state"))
+        .select("model_id", "visual_id", "role", F.posexplode_outer("state.projections").alias("pos", "p"))
+        .filter(F.col("p").isNotNull())
         .select("model_id", "visual_id", "role", "pos", rp.decode_field(F.col("p.field")).alias("f"))
         .filter("f IS NOT NULL")
         .select("model_id", "visual_id", "role", "pos", "f.entity", "f.property", "f.field_type")

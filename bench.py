@@ -16,10 +16,9 @@ from modelgov.session import build_session  # noqa: E402
 
 HEADLINE = [
     # decisions
-    "field_usage_counts", "top_fields", "used_in_report", "unmatched_usage", "column_decisions", "protect_lists",
-    "protect_structure", "table_decisions", "drop_columns",
+    "field_usage_counts", "top_fields", "used_in_report", "unmatched_usage", "column_decisions", "protect_structure",
     # graphs
-    "filter_edges", "filter_lineage", "measure_lineage", "measure_closure",
+    "filter_edges", "filter_lineage", "measure_closure",
     # text and catalog
     "scan_model_text", "parse_columns", "measure_formulas", "dax_refs", "semantic_links", "catalog_columns", "cleanup_plan",
     # reports and layouts

@@ -49,7 +49,12 @@ def _packed(rows: DataFrame, most: int) -> DataFrame:
                 pa.array([x.tobytes()], pa.binary()),
             ], ["dims", "ids", "weights"])
 
-        for batch in batches:
+        def even(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            sizes = batch.column(1).value_lengths().to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(sizes)]
+            return (batch.slice(lo, hi - lo) for lo, hi in zip(edges, edges[1:], strict=False) if hi > lo)
+
+        for batch in (part for b in batches for part in even(b)):
             x = matrix(batch.column(1))
             own = batch.column(0).to_numpy()
             while len(own):

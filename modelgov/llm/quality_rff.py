@@ -87,7 +87,8 @@ def _statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out[:, 23] = np.bincount(o[heads], minlength=n) / np.sqrt(per)
     # Shares that hold within the worst line rather than on the average.
     marks = ((last >= 7) & (last <= 9)).astype(float)
-    block = np.arange(len(of)) // 32 + of * (len(of) // 32 + 2)
+    inside = np.arange(len(of)) - before[of]
+    block = inside // 32 + of * (len(of) // 32 + 2)
     _, where = np.unique(block, return_inverse=True)
     here = np.bincount(where)
     worst = np.bincount(where, marks) / np.maximum(8, here)
@@ -95,7 +96,8 @@ def _statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if len(of):
         heads = np.flatnonzero(np.append(True, np.diff(where) > 0))
         np.maximum.at(top, of[heads], worst)
-        upper = np.bincount(where, (first == 2) & (kinds[np.minimum(opens + 1, len(kinds) - 1)] == 2)) / np.maximum(8, here)
+        second = kinds[np.minimum(opens + 1, len(kinds) - 1)]
+        upper = np.bincount(where, (first == 2) & (second == 2) & (ends - opens > 1)) / np.maximum(8, here)
         loud = np.zeros(n)
         np.maximum.at(loud, of[heads], upper)
         out[:, 25] = loud

@@ -119,7 +119,7 @@ def fewest(sizes, capacity):
 @pytest.mark.parametrize("shards", [1, 5, 24])
 def test_cuts_are_the_optimum_of_their_order(spark, shards):
     rng = random.Random(shards)
-    groups = [(rng.getrandbits(60), rng.randint(8, 400)) for _ in range(3000)]
+    groups = [(rng.getrandbits(60), rng.randint(100, 180)) for _ in range(3000)]
     groups += [(0, 9), (1, 9), (2**60 - 1, 9)]
     cuts = minimax_shards.find_cuts(spark.createDataFrame(groups, "position long, bytes long"), shards)
     total = sum(s for _, s in groups)
@@ -282,18 +282,18 @@ def test_licenses(documents):
     mit = next(t for k, f, t in license_patience.NOTICES if (k, f) == ("MIT", "grant"))
     broken = mit.replace("furnished", "given").replace("deal in", "deal with")
     rows = [
-        (1, "Some text. Released under the MIT License. More text."), (2, "released UNDER the mit\nlicense"), (3, "a license to print the word"),
-        (4, "x " * 20_000 + mit + " y" * 20_000), (5, broken), (6, "Licensed under CC BY-NC 4.0.\n" * 3), *ODD[:5],
-        (7, "This work is licensed under the GNU General Public License, version 3."),
+        (11, "Some text. Released under the MIT License. More text."), (12, "released UNDER the mit\nlicense"), (13, "a license to print the word"),
+        (14, "x " * 20_000 + mit + " y" * 20_000), (15, broken), (16, "Licensed under CC BY-NC 4.0.\n" * 3), *ODD[:5],
+        (17, "This work is licensed under the GNU General Public License, version 3."),
     ]
     got = license_patience.license_finds(documents(rows).withColumn("start", F.lit(0))).collect()
     found = Counter((r.doc_id, r.license, r.form) for r in got)
-    assert found[1, "MIT", "line"] == found[2, "MIT", "line"] == found[4, "MIT", "grant"] == found[5, "MIT", "grant"] == 1
-    assert found[6, "CC-BY-NC-4.0", "line"] == 3 and found[7, "GPL-3.0", "line"] == 1
-    assert {r.doc_id for r in got} == {1, 2, 4, 5, 6, 7}
+    assert found[11, "MIT", "line"] == found[12, "MIT", "line"] == found[14, "MIT", "grant"] == found[15, "MIT", "grant"] == 1
+    assert found[16, "CC-BY-NC-4.0", "line"] == 3 and found[17, "GPL-3.0", "line"] == 1
+    assert {r.doc_id for r in got} == {11, 12, 14, 15, 16, 17}
     text = dict(rows)
-    assert text[1][got[0].start : got[0].end] == "Released under the MIT License" or got[0].doc_id != 1
-    assert all(r.coverage < 1 for r in got if r.doc_id == 5)
+    assert {text[r.doc_id][r.start : r.end] for r in got if r.doc_id == 11} == {"Released under the MIT License"}
+    assert all(r.coverage < 1 for r in got if r.doc_id == 15)
     assert license_patience.license_finds(documents([])).count() == 0
 
 
@@ -320,7 +320,7 @@ def test_permutation_is_a_bijection(total):
 
 def test_shards_give_every_token_back(documents, tmp_path):
     rng = random.Random(6)
-    rows = [(i, prose(rng, rng.randint(0, 200))) for i in range(80)] + ODD
+    rows = [(100 + i, prose(rng, rng.randint(0, 200))) for i in range(80)] + ODD
     docs = documents(rows)
 
     def digest(df, name):

@@ -16,15 +16,18 @@ from modelgov.session import build_session  # noqa: E402
 
 HEADLINE = [
     # decisions
-    "field_usage_counts", "top_fields", "used_in_report", "unmatched_usage", "column_decisions", "protect_structure",
+    "field_usage_counts", "top_fields", "used_in_report", "unmatched_usage", "column_decisions", "protect_lists",
+    "protect_structure", "protect_fixpoint", "table_decisions", "drop_columns",
     # graphs
-    "filter_edges", "filter_lineage", "measure_closure",
+    "filter_edges", "filter_lineage", "measure_lineage", "measure_closure",
     # text and catalog
     "scan_model_text", "parse_columns", "measure_formulas", "dax_refs", "semantic_links", "catalog_columns", "cleanup_plan",
+    "cleanup_text", "not_deletable",
     # reports and layouts
-    "page_visuals", "visual_labels", "visual_fields", "layout_visuals", "layout_fields",
+    "page_visuals", "visual_labels", "visual_fields", "field_usage", "validate_refs", "layout_visuals",
+    "layout_fields", "layout_filters", "layout_summary",
     # object model and rendering
-    "tom_columns", "tom_relations", "render_relations_text",
+    "tom_columns", "tom_relations", "render_model_text", "render_relations_text",
     # star schema
     "fact_union", "star_join", "date_join", "visual_bar", "visual_matrix", "visual_share", "date_drill",
 ]

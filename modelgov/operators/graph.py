@@ -9,20 +9,20 @@ from ..session import materialise
 from ..sources.relations import with_typed_nulls
 
 
-def reach(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def reach(edges: DataFrame) -> DataFrame:
     """Transitive closure with fewest hops: (model_id, src, dst, hops), self pairs left out.
 
     ``edges`` is (model_id, src, dst).  Breadth-first by levels: each round joins only the
     newest pairs with the edges and drops pairs already known, so the first round that
     reaches a pair gives its hop count and cycles end by themselves.  Every level is written
     to the shared checkpoint folder, so a lost executor costs one level at most.  The loop
-    runs until a level is empty; ``max_rounds`` is for callers that want fewer hops.
+    runs until a level is empty.
     """
     step = materialise(edges.select("model_id", "src", "dst").filter(F.col("src") != F.col("dst")).distinct())
     level = step.withColumn("hops", F.lit(1))
     known, hops = level, 1
     e = step.select(F.col("model_id"), F.col("src").alias("dst"), F.col("dst").alias("next"))
-    while max_rounds is None or hops < max_rounds:
+    while True:
         hops += 1
         found = (
             level.join(e, ["model_id", "dst"])

@@ -142,48 +142,63 @@ def measure_formulas(blocks_df: DataFrame) -> DataFrame:
     )
 
 
-_ENDPOINT = (
-    rf"(?:{QUOTED}|\[([^\]]+)\]|([A-Za-z_][\w\s\-]*?))\s*\.\s*"
-    rf"(?:{QUOTED}|\[([^\]]+)\]|([A-Za-z_][\w\s\-]*?))\s*$"
-)
+# An endpoint is two names with a dot between them.  A name is quoted ('' for a quote), bracketed,
+# or bare: bare names end at the first dot, quote or bracket and may use letters of any script.
+_NAME_FORMS = (r"'((?:[^']|'')+)'", r"\[([^\]]+)\]", r"([^'\[\].\n]+)")
+_ENDPOINT = rf"\A(?:{'|'.join(_NAME_FORMS)})[ \t]*\.[ \t]*(?:{'|'.join(_NAME_FORMS)})\z"
+
+
+def _line_value(block: Column, prop: str) -> Column:
+    """What follows ``prop:`` on its own line, or ''."""
+    return strip(F.regexp_extract(block, rf"(?md)^[ \t]*{prop}:(.*)$", 1))
 
 
 def _endpoint(block: Column, prop: str) -> tuple[Column, Column]:
-    pattern = rf"(?md){prop}:\s*{_ENDPOINT}"
+    """Table and column of an endpoint line; null when it cannot be read."""
+    forms = F.split(F.regexp_replace(_line_value(block, prop), _ENDPOINT, "$1\u0001$2\u0001$3\u0001$4\u0001$5\u0001$6"), "\u0001")
 
-    def part(first: int) -> Column:
-        quoted = F.replace(F.regexp_extract(block, pattern, first), F.lit("''"), F.lit("'"))
-        options = [quoted] + [F.regexp_extract(block, pattern, first + i) for i in (1, 2)]
-        return F.coalesce(*[F.nullif(strip(o), F.lit("")) for o in options])
+    def name(first: int) -> Column:
+        quoted = F.replace(forms[first], F.lit("''"), F.lit("'"))
+        whole = F.concat(quoted, forms[first + 1], forms[first + 2])
+        return F.when(F.size(forms) == 6, F.nullif(strip(whole), F.lit("")))
 
-    return part(1), part(4)
+    return name(0), name(3)
 
 
-def parse_relations(files: DataFrame) -> DataFrame:
-    """Relationship blocks: endpoints by name, cross-filter direction, active flag."""
+def _relation_blocks(files: DataFrame) -> DataFrame:
     body = F.col("block")
     from_table, from_column = _endpoint(body, "fromColumn")
     to_table, to_column = _endpoint(body, "toColumn")
-    behavior = F.regexp_extract(body, r"crossFilteringBehavior:\s*(\S+)", 1)
-    active = F.lower(F.regexp_extract(body, r"isActive:\s*(\S+)", 1))
     return (
         files.select("model_id", "path", F.posexplode(F.split("content", r"(?md)^relationship\s+")).alias("rel_no", "block"))
         .filter(F.col("rel_no") > 0)
         .select(
-            "model_id", "path", "rel_no",
-            strip(F.regexp_extract(body, r"\A([^\n]*)", 1)).alias("relationship"),
+            "model_id", "path", "rel_no", strip(F.regexp_extract(body, r"\A([^\n]*)", 1)).alias("relationship"),
             from_table.alias("from_table"), from_column.alias("from_column"),
             to_table.alias("to_table"), to_column.alias("to_column"),
-            F.coalesce(F.nullif(behavior, F.lit("")), F.lit("oneDirection")).alias("cross_filter"),
-            (active != "false").alias("is_active"),
-        )
-        .filter(
-            F.col("from_table").isNotNull() & F.col("from_column").isNotNull()
-            & F.col("to_table").isNotNull() & F.col("to_column").isNotNull()
+            F.coalesce(F.nullif(_line_value(body, "crossFilteringBehavior"), F.lit("")), F.lit("oneDirection")).alias("cross_filter"),
+            (F.lower(_line_value(body, "isActive")) != "false").alias("is_active"),
+            _line_value(body, "fromColumn").alias("from_text"), _line_value(body, "toColumn").alias("to_text"),
         )
     )
 
 
+def _read(prefix: str) -> Column:
+    return F.col(f"{prefix}_table").isNotNull() & F.col(f"{prefix}_column").isNotNull()
+
+
+def parse_relations(files: DataFrame) -> DataFrame:
+    """Relationship blocks: endpoints by name, cross-filter direction, active flag."""
+    return _relation_blocks(files).filter(_read("from") & _read("to")).drop("from_text", "to_text")
+
+
+def unread_relations(files: DataFrame) -> DataFrame:
+    """Audit of relationship blocks with an endpoint that cannot be read: its text as it stands."""
+    return _relation_blocks(files).filter(~(_read("from") & _read("to"))).select(
+        "model_id", "path", "rel_no", "relationship", "from_text", "to_text"
+    )
+
+
 def security_tables(files: DataFrame) -> DataFrame:
     """Distinct tables with a row filter, filter on the same line or on the next."""
     pattern = rf"tablePermission\s+(?:{QUOTED}|([^'=\n]+?))\s*(?:=|\n\s*filterExpression\s*=)"

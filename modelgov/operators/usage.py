@@ -13,6 +13,11 @@ from ..session import materialise
 FLAGS = ["slicer", "visual", "filter", "measure"]
 
 
+def _names_column(usage: DataFrame) -> str:
+    """``column_name`` in long rows (one name each), ``column_names`` in comma lists."""
+    return "column_name" if "column_name" in usage.columns else "column_names"
+
+
 def distinct_uses(usage: DataFrame) -> DataFrame:
     """Equal usage rows as one row with a count (``n_uses``).
 
@@ -20,7 +25,7 @@ def distinct_uses(usage: DataFrame) -> DataFrame:
     each form once, however popular a field is.
     """
     return usage.groupBy(
-        "model_id", "table_name", "column_names", "ui_field", "usage_label",
+        "model_id", "table_name", _names_column(usage), "ui_field", "usage_label",
         F.when(blank_to_null(F.col("formula")).isNotNull(), "formula").alias("formula"),
     ).agg(F.count("*").alias("n_uses"))
 
@@ -28,14 +33,16 @@ def distinct_uses(usage: DataFrame) -> DataFrame:
 def usage_explode(usage: DataFrame) -> DataFrame:
     """One row per used name: comma lists are split, measure rows also name their field.
 
-    ``usage``: model_id, table_name, column_names, ui_field, usage_label, formula, and n_uses
-    after ``distinct_uses``.  Both steps happen in one generator, so usage is read once.
+    ``usage``: model_id, table_name, column_names (a comma list) or column_name (one name, which
+    may hold commas and is not split), ui_field, usage_label, formula, and n_uses after
+    ``distinct_uses``.  Both steps happen in one generator, so usage is read once.
     """
     weight = ["n_uses"] if "n_uses" in usage.columns else []
     has_formula = blank_to_null(F.col("formula")).isNotNull()
-    names = F.filter(
-        F.transform(F.split(F.coalesce("column_names", F.lit("")), ","), clean_text), lambda n: n != ""
-    )
+    given = _names_column(usage)
+    text = F.coalesce(given, F.lit(""))
+    several = F.array(text) if given == "column_name" else F.split(text, ",")
+    names = F.filter(F.transform(several, clean_text), lambda n: n != "")
     doubled = F.flatten(F.transform(names, lambda n: F.array(n, clean_text("ui_field"))))
     return (
         usage.select(

@@ -6,7 +6,7 @@ shared checkpoint folder; nothing passes through the driver.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +58,24 @@ def read_models(files: DataFrame) -> Model:
     )
 
 
+def models_by_name(model: Model, documents: DataFrame) -> DataFrame:
+    """(report_id, model_id) of reports that share a model's name before the suffix."""
+    names = model.tables.select("model_id").distinct().withColumn("stem", F.regexp_replace("model_id", r"\.[^.]*$", ""))
+    reports = documents.select("report_id").distinct().withColumn("stem", F.regexp_replace("report_id", r"\.[^.]*$", ""))
+    return reports.join(names, "stem").select("report_id", "model_id")
+
+
+def unmatched_reports(documents: DataFrame, model_of: DataFrame) -> DataFrame:
+    """Audit: reports without a model.  What they use is unknown to the decisions."""
+    return documents.select("report_id").distinct().join(model_of, "report_id", "left_anti")
+
+
+def unread_documents(documents: DataFrame) -> DataFrame:
+    """Audit: documents whose content is no JSON.  What they use is unknown to the decisions."""
+    unread = F.col("content").isNull() | F.try_parse_json("content").isNull()
+    return documents.filter(unread).select("report_id", "page_id", "visual_id", "kind")
+
+
 def read_usage(model: Model, documents: DataFrame, model_of: DataFrame | None = None) -> DataFrame:
     """Usage rows of all reports, checked against the catalog; ``status`` tells what happened.
 
@@ -65,9 +83,7 @@ def read_usage(model: Model, documents: DataFrame, model_of: DataFrame | None =
     to model_id; without it a report belongs to the model of the same name before the suffix.
     """
     if model_of is None:
-        names = model.tables.select("model_id").distinct().withColumn("stem", F.regexp_replace("model_id", r"\.[^.]*$", ""))
-        reports = documents.select("report_id").distinct().withColumn("stem", F.regexp_replace("report_id", r"\.[^.]*$", ""))
-        model_of = reports.join(names, "stem").select("report_id", "model_id")
+        model_of = models_by_name(model, documents)
     docs = materialise(documents.join(model_of, "report_id"))
     pages = report.page_documents(docs.filter("kind = 'page'"))
     visuals = materialise(report.page_visuals(pages, report.visual_documents(docs.filter("kind = 'visual'"))))
@@ -106,7 +122,7 @@ def decide_all(
     ``uses``: rows of ``read_usage`` (dropped references are left out here).  ``mode``:
     single_pass protects in the fixed order once; fixpoint keeps all a kept column needs.
     """
-    rows = uses.filter(F.col("status") != "dropped").withColumnRenamed("column_name", "column_names")
+    rows = uses.filter(F.col("status") != "dropped")
     counts = materialise(usage.field_usage_counts(usage.usage_classify(usage.usage_explode(usage.distinct_uses(rows)))))
     columns = model.columns.drop("table_name", "path")
     master = materialise(catalog.semantic_master(columns, model.tables))
@@ -154,24 +170,49 @@ def clean_up(model: Model, decisions: Decisions, mode: str = "tmdl_only") -> tup
 def run(
     spark: SparkSession, models_root: str, reports_root: str, out: str, views: DataFrame | None = None,
     security: DataFrame | None = None, cleanup_mode: str | None = None, schema: str = "dbo",
+    mode: str = "single_pass", model_of: DataFrame | None = None, on_unmatched: str = "raise",
 ) -> Decisions:
-    """Read both corpora, decide, and write every result under ``out``."""
-    model = read_models(materialise(definitions.scan_model_text(spark, models_root)))
-    uses = materialise(read_usage(model, definitions.scan_reports(spark, reports_root)))
+    """Read both corpora, decide, and write every result and audit under ``out``.
+
+    ``model_of`` and ``mode`` are those of ``read_usage`` and ``decide_all``.  Reports without a
+    model end the run (``on_unmatched="raise"``) or are only written to the audits (``"audit"``).
+    A model with unread documents or relationships gets no DROP statements.
+    """
+    if on_unmatched not in ("raise", "audit"):
+        raise ValueError(f"unknown handling of unmatched reports {on_unmatched!r}")
+    files = materialise(definitions.scan_model_text(spark, models_root))
+    model = read_models(files)
+    documents = materialise(definitions.scan_reports(spark, reports_root))
+    model_of = materialise(models_by_name(model, documents) if model_of is None else model_of)
+    alone, unread = unmatched_reports(documents, model_of), materialise(unread_documents(documents))
+    unread_ends = materialise(tp.unread_relations(definitions.relationship_files(files)))
+    for name, audit in (("unmatched_reports", alone), ("unread_documents", unread), ("unread_relations", unread_ends)):
+        sinks.write_relation(audit, f"{out}/audit/{name}")
+    lone = alone.limit(3).collect() if on_unmatched == "raise" else []
+    if lone:
+        raise ValueError(f"reports without a model, such as {[r[0] for r in lone]}: pass model_of, or on_unmatched='audit'")
+    uses = materialise(read_usage(model, documents, model_of))
     sinks.write_usage(uses, f"{out}/usage")
     sinks.write_catalog(model.tables, model.columns, model.relations, f"{out}/catalog")
     sinks.write_security(model.security, f"{out}/security")
     table, measure, summary = lineage(model)
     sinks.write_lineage(table, measure, f"{out}/lineage")
     sinks.write_relation(summary, f"{out}/lineage/summary")
-    result = decide_all(model, uses, views, security, schema=schema)
+    result = decide_all(model, uses, views, security, mode=mode, schema=schema)
+    doubtful = materialise(
+        unread.join(model_of, "report_id").select("model_id").union(unread_ends.select("model_id")).distinct()
+    )
+    result = replace(
+        result, drop_tables=result.drop_tables.join(doubtful, "model_id", "left_anti"),
+        drop_columns=result.drop_columns.join(doubtful, "model_id", "left_anti"),
+    )
     for name in ("counts", "columns", "tables", "model_items", "conflicts", "unmatched_usage", "unmatched_endpoints"):
         sinks.write_relation(getattr(result, name), f"{out}/decisions/{name}")
     sinks.write_statements(result.drop_tables, f"{out}/sql/drop_tables")
     sinks.write_statements(result.drop_columns, f"{out}/sql/drop_columns")
     sinks.write_relation(decide.run_summary(result.drop_tables, result.drop_columns, result.model_items), f"{out}/summary")
     if cleanup_mode:
-        files, removed, skipped = clean_up(model, result, cleanup_mode)
-        sinks.write_edited_files(files, f"{out}/cleanup/files")
+        edited, removed, skipped = clean_up(model, result, cleanup_mode)
+        sinks.write_edited_files(edited, f"{out}/cleanup/files")
         sinks.write_report(removed, skipped, f"{out}/cleanup")
     return result

@@ -39,6 +39,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder every executor can reach")
         shared = os.path.join(tempfile.gettempdir(), f"modelgov-checkpoints-{sc.applicationId}")
+    elif not sc.master.startswith("local") and "://" not in shared:
+        raise RuntimeError(f"{CHECKPOINT_KEY} must be a URL on a cluster: {shared!r} may be another folder on every machine")
     sc.setCheckpointDir(shared)
     return shared
 

@@ -18,8 +18,9 @@ such hash (a run).  In every run:
 
 1. documents with equal sets were merged to one node before; two nodes of the run are verified
    against the others, and components of the links found are built;
-2. runs that still hold several components get an R-tree over their points; surviving pairs
-   between different components are verified, and components are built again.
+2. what those two leave of a run gets an R-tree over its points, if it still holds several
+   components; surviving pairs between different components are verified, and components are
+   built again.
 
 Every pair of a run is then linked through a component, verified, or bounded away: no link is
 lost, and a group of near copies never has all its pairs written.  Runs longer than ``RUN``
@@ -35,7 +36,7 @@ name a component (null if it has no other); other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -95,26 +96,39 @@ def counts_of(shingles: np.ndarray) -> np.ndarray:
     return np.bincount((shingles >> np.uint64(64 - (g.bit_length() - 1))).astype(np.int64), minlength=g).astype(np.uint16)
 
 
+def point_bytes(shingles: np.ndarray) -> bytes:
+    """Counts as bytes, in the narrowest of two widths that holds them; the first byte names it."""
+    counts = counts_of(shingles)
+    kind = np.uint8 if counts.max(initial=0) < 256 else np.uint16
+    return bytes([kind().itemsize]) + counts.astype(kind).tobytes()
+
+
+def point(raw) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8 if raw[0] == 1 else np.uint16, offset=1).astype(np.uint16)
+
+
 def folded(counts: np.ndarray, groups: int) -> np.ndarray:
     """Counts over fewer groups: neighbouring groups summed."""
     return counts.reshape(groups, -1).sum(axis=1, dtype=np.uint16) if len(counts) > groups else counts
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node of every document."""
+    """doc_id, n_shingles, node, counts (binary) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, nodes = [], []
+            sizes, nodes, points = [], [], []
             for s in shingle_sets(batch.column(1)):
                 sizes.append(len(s))
                 nodes.append(node_of(s))
+                points.append(point_bytes(s))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], ["doc_id", "n_shingles", "node"]
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(points, pa.binary())],
+                ["doc_id", "n_shingles", "node", "counts"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, counts binary")
 
 
 def frequent_hashes(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -232,7 +246,7 @@ def distinct_runs(rows: DataFrame) -> DataFrame:
 
 
 def active_sets(docs: DataFrame, active: DataFrame) -> DataFrame:
-    """node, shingles, counts (binary) of the documents that stand for the active nodes (doc_id, node).
+    """node, shingles (binary) of the documents that stand for the active nodes (doc_id, node).
 
     A bit table of fixed size tells most other documents apart before any set is sent; what
     passes it is joined exactly.
@@ -251,39 +265,58 @@ def active_sets(docs: DataFrame, active: DataFrame) -> DataFrame:
             for lo in range(0, len(hit), 512):
                 part = batch.take(pa.array(hit[lo : lo + 512]))
                 sets = list(shingle_sets(part.column(1)))
-                yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array([node_of(s) for s in sets], pa.int64()),
-                    pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([counts_of(s).tobytes() for s in sets], pa.binary()),
-                ], ["doc_id", "node", "shingles", "counts"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    ["doc_id", "node", "shingles"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "text", bit.alias("bit")).mapInArrow(run, f"doc_id {kind}, node long, shingles binary, counts binary")
+    found = docs.select("doc_id", "text", bit.alias("bit")).mapInArrow(run, f"doc_id {kind}, node long, shingles binary")
     named = active.select(F.col("doc_id").alias("_doc"), F.col("node").alias("_node"))
-    return found.join(named, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("node", "shingles", "counts")
+    return found.join(named, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("node", "shingles")
+
 
+def _paired(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """a, b and the binary column of either."""
+    left = rows.select(F.col("node").alias("a"), F.col(column).alias("of_a"))
+    right = rows.select(F.col("node").alias("b"), F.col(column).alias("of_b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link: bounded by their counts first, then compared on whole sets."""
 
+def _chosen(pairs: DataFrame, read: Callable, good: Callable[[np.ndarray, np.ndarray], bool]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
-            for i in range(len(a)):
-                ca, cb = (np.frombuffer(batch.column(k)[i].as_py(), np.uint16) for k in (4, 5))
-                sa, sb = (np.frombuffer(batch.column(k)[i].as_py(), np.uint64) for k in (2, 3))
-                least = need(len(sa), len(sb))
-                g = min(len(ca), len(cb))
-                if int(np.minimum(folded(ca, g), folded(cb, g)).sum()) < least:
-                    continue
-                if len(np.intersect1d(sa, sb, assume_unique=True)) >= least:
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
+            of_a, of_b = batch.column(2), batch.column(3)
+            keep = [
+                i for i in range(len(batch))
+                if good(read(of_a[i].as_py()), read(of_b[i].as_py()))
+            ]
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """The pairs whose counts do not rule a link out."""
+
+    def good(a: np.ndarray, b: np.ndarray) -> bool:
+        g = min(len(a), len(b))
+        return int(np.minimum(folded(a, g), folded(b, g)).sum(dtype=np.int64)) >= need(int(a.sum(dtype=np.int64)), int(b.sum(dtype=np.int64)))
+
+    return _chosen(_paired(pairs, points, "counts"), point, good)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, work: Work) -> DataFrame:
+    """The pairs that link, compared on their whole sets; sets are built for the pairs' nodes only."""
+    members = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("doc_id", "node")
+    sets = work.keep(active_sets(docs, work.keep(members)).dropDuplicates(["node"]))
+
+    def good(a: np.ndarray, b: np.ndarray) -> bool:
+        return len(np.intersect1d(a, b, assume_unique=True)) >= need(len(a), len(b))
 
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("ca"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("cb"))
-    whole = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", "ca", "cb")
-    return whole.mapInArrow(run, "a long, b long")
+    links = work.keep(_chosen(_paired(pairs, sets, "shingles"), lambda raw: np.frombuffer(raw, np.uint64), good))
+    work.drop(sets)
+    return links
 
 
 class Tree:
@@ -341,22 +374,22 @@ class Tree:
                     stack.append((level - 1, int(x[p]), int(y[q])))
 
 
-def tree_pairs(rows: DataFrame) -> DataFrame:
+def tree_pairs(rows: DataFrame, points: DataFrame) -> DataFrame:
     """Pairs a < b of different labels inside a run whose counts do not rule a link out.
 
-    ``rows``: key, node, size, short, label, counts.  Long runs are split into pairs of blocks.
+    ``rows``: key, node, size, short, label; ``points``: node, counts.  Long runs are split into
+    pairs of blocks.
     """
     parts = rows.groupBy("key").agg(F.ceil(F.count("*") / RUN).cast("int").alias("_parts"))
     block = F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int")
     cut = rows.join(parts, "key").withColumn("block", block)
-    other = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
-    cut = cut.withColumn("_other", other)
+    cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     cut = cut.withColumn("i", F.least("block", "_other")).withColumn("j", F.greatest("block", "_other"))
 
     def joined(group: tuple[int, int, int], own: list[tuple]) -> Iterator[tuple[int, int]]:
         _, i, j = group
         sizes, labels = np.asarray([r[1] for r in own]), np.asarray([r[3] for r in own])
-        for x, y in Tree(sizes, labels, [np.frombuffer(r[4], np.uint16) for r in own]).pairs():
+        for x, y in Tree(sizes, labels, [point(r[4]) for r in own]).pairs():
             p, q = own[x], own[y]
             if {p[5], q[5]} != {i, j}:
                 continue
@@ -379,7 +412,7 @@ def tree_pairs(rows: DataFrame) -> DataFrame:
         out += joined(group, own) if own else []
         yield _pairs_batch(out)
 
-    spread = cut.select("key", "i", "j", "node", "size", "short", "label", "counts", "block")
+    spread = cut.join(points, "node").select("key", "i", "j", "node", "size", "short", "label", "counts", "block")
     spread = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return spread.mapInArrow(run, "a long, b long").distinct()
 
@@ -403,8 +436,8 @@ def classes(docs: DataFrame) -> DataFrame:
     shared = work.keep(shared_runs(key_rows(docs, hot, frequent, times)))
     runs = work.keep(distinct_runs(shared))
     work.drop(shared)
-    active = runs.select("node").distinct().join(nodes, "node").select("doc_id", "node")
-    sets = work.keep(active_sets(docs, work.keep(active)))
+    active = runs.select("node").distinct()
+    points = work.keep(own.join(active, "node").select("node", "counts").dropDuplicates(["node"]))
 
     # 1. two nodes of each run, those of least and of greatest hash, against the others
     chosen = F.struct(F.xxhash64("node").alias("h"), "node", "size", "short")
@@ -415,18 +448,18 @@ def classes(docs: DataFrame) -> DataFrame:
         & (F.col("short") & (F.col("size") <= F.col("o.size")) | F.col("o.short") & (F.col("o.size") <= F.col("size")))
     ).select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
     tested = work.keep(stars)
-    links = work.keep(verified(tested, sets))
+    links = verified(work.keep(bounded(tested, points)), docs, nodes, work)
     labels = components(links, work)
 
-    # 2. runs with several components: trees over their points
-    labelled = runs.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    # 2. what those two leave of a run, if it still holds several components: trees over the points
+    inner = runs.join(ends, "key").where(~F.array_contains(F.transform("ends", lambda e: e["node"]), F.col("node"))).drop("ends")
+    labelled = inner.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     open_ = labelled.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("key")
     rest = work.keep(labelled.join(open_, "key"))
-    points = sets.select("node", "counts").dropDuplicates(["node"])
-    more = tree_pairs(rest.join(points, "node")).join(tested, ["a", "b"], "left_anti")
-    more = work.keep(verified(work.keep(more), sets))
+    more = tree_pairs(rest, points).join(tested, ["a", "b"], "left_anti")
+    more = verified(work.keep(more), docs, nodes, work)
     labels = components(links.union(more), work)
-    work.drop(runs, sets, rest)
+    work.drop(runs, rest, points)
 
     named = own.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = (

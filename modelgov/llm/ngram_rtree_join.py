@@ -386,15 +386,16 @@ def tree_pairs(rows: DataFrame, points: DataFrame) -> DataFrame:
     cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     cut = cut.withColumn("i", F.least("block", "_other")).withColumn("j", F.greatest("block", "_other"))
 
+    # a node has at most as many runs as first hashes; a pair is taken in the first run it shares
+    of_node = rows.groupBy("node").agg(F.collect_list("key").alias("runs")).join(points, "node")
+
     def joined(group: tuple[int, int, int], own: list[tuple]) -> Iterator[tuple[int, int]]:
-        _, i, j = group
+        key, i, j = group
+        runs = [frozenset(r[6]) for r in own]
         sizes, labels = np.asarray([r[1] for r in own]), np.asarray([r[3] for r in own])
         for x, y in Tree(sizes, labels, [point(r[4]) for r in own]).pairs():
             p, q = own[x], own[y]
-            if {p[5], q[5]} != {i, j}:
-                continue
-            small, large = (p, q) if p[1] <= q[1] else (q, p)
-            if small[2] or (p[1] == q[1] and large[2]):
+            if {p[5], q[5]} == {i, j} and min(runs[x] & runs[y]) == key:
                 yield min(p[0], q[0]), max(p[0], q[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,7 +413,7 @@ def tree_pairs(rows: DataFrame, points: DataFrame) -> DataFrame:
         out += joined(group, own) if own else []
         yield _pairs_batch(out)
 
-    spread = cut.join(points, "node").select("key", "i", "j", "node", "size", "short", "label", "counts", "block")
+    spread = cut.join(of_node, "node").select("key", "i", "j", "node", "size", "short", "label", "counts", "block", "runs")
     spread = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return spread.mapInArrow(run, "a long, b long").distinct()
 

@@ -7,8 +7,9 @@ is cut into substrings; a table per substring lists codes under every value at m
 two codes meet in a table when their substrings differ in two bits at most.  Codes that meet and
 differ in at most ``RADIUS`` bits are compared on the original vectors in double precision.
 
-Equal vectors are one entry of the index, so a hot vector costs as much as any other.  A pair is
-taken in the first table where its codes meet, and there at one value, so it comes up once.
+Equal vectors are one entry of the index, so a hot vector costs as much as any other; the tables hold
+distinct codes, so a hot code does too.  A pair of codes is taken in the first table where they meet,
+and there at one value, so it comes up once; vectors of one code are paired without the tables.
 Retrieval is approximate (recall is measured against brute force in the tests), the comparison is
 exact: no pair below the threshold is linked.
 
@@ -77,10 +78,11 @@ def linked_pairs(entries: DataFrame, threshold: float, bits: int, work: Work) ->
         F.struct(F.lit(k).alias("t"), part(F.col("code"), t).bitwiseXOR(F.lit(flip)).alias("v"))
         for k, t in enumerate(tables) for flip in [0, *(1 << i for i in range(t[1]))]
     ]
-    listed = codes.select("node", "code", F.explode(F.array(*spots)).alias("spot")).select("node", "code", "spot.t", "spot.v")
-    left, right = listed.toDF("a", "ca", "t", "v"), listed.toDF("b", "cb", "t", "v")
+    distinct = work.keep(codes.select("code").distinct())
+    listed = distinct.select("code", F.explode(F.array(*spots)).alias("spot")).select("code", "spot.t", "spot.v")
+    left, right = listed.toDF("ca", "t", "v"), listed.toDF("cb", "t", "v")
     apart = F.bit_count(F.col("ca").bitwiseXOR(F.col("cb")))
-    met = left.join(right, ["t", "v"]).where((F.col("a") < F.col("b")) & (apart <= RADIUS))
+    met = left.join(right, ["t", "v"]).where((F.col("ca") < F.col("cb")) & (apart <= RADIUS))
     # the first table in which the substrings are at most two bits apart, and one value there
     first = F.lit(len(tables))
     value = F.lit(-1).cast("long")
@@ -93,7 +95,12 @@ def linked_pairs(entries: DataFrame, threshold: float, bits: int, work: Work) ->
         at = F.when(F.bit_count(differ) == 2, F.least(pa_.bitwiseXOR(lowest), pb.bitwiseXOR(lowest))).otherwise(F.least(pa_, pb))
         first = F.when(near, F.lit(k)).otherwise(first)
         value = F.when(near, at).otherwise(value)
-    candidates = met.where((F.col("t") == first) & (F.col("v") == value)).select("a", "b")
+    near_codes = met.where((F.col("t") == first) & (F.col("v") == value)).select("ca", "cb")
+    of_a, of_b = codes.toDF("x", "ca"), codes.toDF("y", "cb")
+    across = near_codes.join(of_a, "ca").join(of_b, "cb")
+    within = of_a.join(of_b.withColumnRenamed("cb", "ca"), "ca").where(F.col("x") < F.col("y"))
+    ordered = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    candidates = ordered.union(within.select("x", "y"))
     units = entries.select("node", "unit")
     whole = (
         candidates.join(units.toDF("a", "ua"), "a").join(units.toDF("b", "ub"), "b")

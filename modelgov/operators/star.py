@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 # Declared type names and the engine types behind them.
 DECLARED_TYPES = {
     "text": "string", "int64": "bigint", "datetime": "timestamp", "currency": "decimal(19,4)",
@@ -109,11 +111,10 @@ def slicer_values(df: DataFrame, column: str) -> DataFrame:
 def shares(df: DataFrame, by: Sequence[str], name: str, value: Column) -> DataFrame:
     """Grouped measure with its share of the total.
 
-    The total is a scalar subquery over the groups.
+    The groups are written once; the total is a scalar subquery over them, not over the fact.
     """
-    groups = grouped(df, by, **{name: value})
-    total = grouped(df, by, **{name: value}).agg(F.sum(name)).scalar()
-    return groups.withColumn("share", F.col(name) / total)
+    groups = materialise(grouped(df, by, **{name: value}))
+    return groups.withColumn("share", F.col(name) / groups.agg(F.sum(name)).scalar())
 
 
 def date_drill(df: DataFrame, date_column: str, **measures: Column) -> DataFrame:

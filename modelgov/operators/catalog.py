@@ -40,7 +40,7 @@ def catalog_columns(columns: DataFrame, measures: DataFrame, tables: DataFrame |
 
 
 def resolve_relations(relations: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
-    """Relationship names -> ids; ``missing`` lists what could not be resolved."""
+    """Relationship names -> ids; ``missing`` is an array of the ends that could not be resolved."""
     t = tables.groupBy("model_id", "table_name").agg(F.max("table_id").alias("table_id"))
     c = columns.groupBy("model_id", "table_name", "column_name").agg(F.max("column_id").alias("column_id"))
     out = relations
@@ -55,22 +55,8 @@ def resolve_relations(relations: DataFrame, tables: DataFrame, columns: DataFram
         out = out.join(ids, ["model_id", f"{side}_table"], "left")
         out = out.join(names, ["model_id", f"{side}_table", f"{side}_column"], "left")
 
-    def gap(column: str, text: Column) -> Column:
-        return F.when(F.col(column).isNull(), text)
-
-    def name(*parts: str) -> Column:
-        return F.concat(F.lit("'"), F.concat_ws(".", *parts), F.lit("'"))
-
-    return out.withColumn(
-        "missing",
-        F.concat_ws(
-            ", ",
-            gap("from_table_id", F.concat(F.lit("FromTable "), name("from_table"))),
-            gap("to_table_id", F.concat(F.lit("ToTable "), name("to_table"))),
-            gap("from_column_id", F.concat(F.lit("FromCol "), name("from_table", "from_column"))),
-            gap("to_column_id", F.concat(F.lit("ToCol "), name("to_table", "to_column"))),
-        ),
-    )
+    sides = [F.when(F.col(f"{side}_id").isNull(), F.lit(side)) for side in ("from_table", "from_column", "to_table", "to_column")]
+    return out.withColumn("missing", F.array_compact(F.array(*sides)))
 
 
 RELATION_COLUMNS = [
@@ -79,11 +65,14 @@ RELATION_COLUMNS = [
 
 
 def catalog_relations(resolved: DataFrame) -> DataFrame:
-    return resolved.filter(F.col("missing") == "").select(*RELATION_COLUMNS)
+    return resolved.filter(F.size("missing") == 0).select(*RELATION_COLUMNS)
 
 
 def unresolved_relations(resolved: DataFrame) -> DataFrame:
-    return resolved.filter(F.col("missing") != "").select("model_id", "relationship", "missing")
+    """Relationships with an end that the catalog lacks: which ends, and the names as they stand."""
+    return resolved.filter(F.size("missing") > 0).select(
+        "model_id", "relationship", "missing", "from_table", "from_column", "to_table", "to_column"
+    )
 
 
 def semantic_master(columns: DataFrame, tables: DataFrame) -> DataFrame:

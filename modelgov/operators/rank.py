@@ -7,30 +7,18 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 
-# Largest group a single window task may sort; larger ones take the range-partitioned way.
-MAX_WINDOW_ROWS = 1_000_000
 
-
-def largest_group(df: DataFrame, group: list[str]) -> int:
-    row = df.groupBy(*group).count().agg(F.max("count").alias("n")).first()
-    return int(row["n"] or 0)
-
-
-def number_within(
-    df: DataFrame, group: list[str], order: list[str], name: str, max_rows: int = MAX_WINDOW_ROWS
-) -> DataFrame:
+def number_within(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
     """Add ``name`` = 1..n inside each group, in ``order``.
 
-    One probe finds the largest group.  While it fits a task, a plain window does the work.
-    Otherwise rows are range-partitioned by (group, order), numbered inside each
-    (group, partition) slice and shifted by the sizes of earlier slices of the same group.
+    Rows are range-partitioned by (group, order), numbered inside each (group, partition) slice
+    and shifted by the sizes of earlier slices of the same group, so no task sorts a whole large
+    group.  The input is written first, since range bounds come from a sample of it; the slices
+    are written too, since a second reading of the sample could cut them elsewhere.
     """
-    if largest_group(df, group) <= max_rows:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long"))
-
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
     sliced = materialise(
-        df.repartitionByRange(parts, *group, *order).withColumn("_slice", F.spark_partition_id())
+        materialise(df).repartitionByRange(parts, *group, *order).withColumn("_slice", F.spark_partition_id())
     )
     sizes = sliced.groupBy(*group, "_slice").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -46,18 +34,6 @@ def number_within(
     )
 
 
-def listed(df: DataFrame, group: list[str], value: str, name: str, per_list: int = 512) -> DataFrame:
-    """Members of each group as sorted lists: (group, part_no, n_members, ``name``).
-
-    A group of up to ``per_list`` members is one list.  A larger one is spread by hash over as
-    many numbered lists as it needs, so no task ever holds a whole large group.
-    """
-    members = df.select(*group, F.col(value).alias("_v")).distinct()
-    sizes = members.groupBy(*group).agg(F.count("*").alias("n_members"))
-    parts = F.ceil(F.col("n_members") / F.lit(per_list)).cast("int")
-    return (
-        members.join(sizes, group)
-        .withColumn("part_no", F.pmod(F.xxhash64("_v"), parts).cast("int") + 1)
-        .groupBy(*group, "part_no", "n_members")
-        .agg(F.array_sort(F.collect_list("_v")).alias(name))
-    )
+def listed(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Distinct members of each group, one row each: (group, ``value``, position), in order of ``value``."""
+    return number_within(df.select(*group, value).distinct(), group, [value], "position")

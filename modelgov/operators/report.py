@@ -259,13 +259,11 @@ def field_usage(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def grouped_dependencies(closure: DataFrame, per_list: int = 512) -> DataFrame:
-    """Presentation: dependencies of a measure per table, comma-joined, in numbered lists."""
+def grouped_dependencies(closure: DataFrame) -> DataFrame:
+    """Presentation: dependencies of a measure per table, one row each with its position by name."""
     from .rank import listed
 
-    return listed(
-        closure, ["model_id", "table_name", "measure", "dep_table"], "dep_column", "names", per_list
-    ).withColumn("names", F.array_join("names", ", "))
+    return listed(closure, ["model_id", "table_name", "measure", "dep_table"], "dep_column")
 
 
 def usage_summary(usage: DataFrame) -> DataFrame:

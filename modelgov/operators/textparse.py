@@ -124,14 +124,17 @@ def parse_measures(blocks_df: DataFrame) -> DataFrame:
 
 
 def formula_text(block: Column) -> Column:
-    """Formula of a measure block without properties, fences, tabs and blank lines."""
-    body = strip(F.regexp_replace(block, rf"(?d)\A\tmeasure\s+{NAME}\s*=\s*", ""))
-    body = F.regexp_replace(body, rf"(?md)^[ \t]*(?:{FORMULA_END})\s*[: ](?s:.*)", "")
-    body = strip(body)
-    body = F.regexp_replace(body, r"\A```\s*\n?", "")
-    body = F.regexp_replace(body, r"\n?\s*```\s*\z", "")
-    body = F.regexp_replace(body, r"\t+", "    ")
-    return strip(F.regexp_replace(body, r"\n\s*\n", "\n"))
+    """Formula of a measure block: what its header holds behind '=' and the lines up to the first property.
+
+    Blank lines and fences go; an indent counts as four blanks however deep it is.
+    """
+    below = F.slice(F.split(block, "\n"), F.lit(2), F.length(block))
+    is_end = F.transform(below, lambda line: line.rlike(rf"\A[ \t]*(?:{FORMULA_END})[ \t]*[: ]"))
+    end = F.array_position(is_end, F.lit(True))
+    body = F.slice(below, F.lit(1), F.when(end > 0, end.cast("int") - 1).otherwise(F.size(below)))
+    own = F.regexp_replace(_first_line(block), rf"\A\tmeasure\s+{NAME}\s*=", "")
+    lines = F.filter(F.concat(F.array(own), body), lambda line: ~strip(line).isin("", "```"))
+    return strip(F.regexp_replace(F.array_join(lines, "\n"), r"\t+", "    "))
 
 
 def measure_formulas(blocks_df: DataFrame) -> DataFrame:

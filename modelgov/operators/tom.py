@@ -180,9 +180,9 @@ def tom_annotations(annotations: DataFrame) -> DataFrame:
     ).filter(F.col("object_type").isNotNull() & F.col("object_id").isNotNull())
 
 
-def annotation_lists(annotations: DataFrame, per_list: int = 512) -> DataFrame:
-    """Name=value pairs per object, in numbered lists."""
-    from .rank import listed
+def annotation_lists(annotations: DataFrame) -> DataFrame:
+    """Name and value of every annotation of every kind of object, equal ones kept, with its position by name and value."""
+    from .rank import number_within
 
-    pair = annotations.withColumn("pair", F.concat_ws("=", "name", "value"))
-    return listed(pair, ["model_id", "object_kind", "object_id"], "pair", "pairs", per_list)
+    rows = annotations.select("model_id", "object_kind", "object_type", "object_id", "name", "value")
+    return number_within(rows, ["model_id", "object_type", "object_id"], ["name", "value"], "position")

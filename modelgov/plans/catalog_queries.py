@@ -53,7 +53,8 @@ def _catalog_relations(ctx):
 
 
 @query("unresolved_relations", f"""
-    SELECT model_id, 'r2-' || {K} AS relationship, 'ToTable ''Facts_' || {K} || ''', ToCol ''Facts_' || {K} || '.Some Key''' AS missing
+    SELECT model_id, 'r2-' || {K} AS relationship, ['to_table', 'to_column'] AS missing,
+        table_name AS from_table, 'Price' AS from_column, 'Facts_' || {K} AS to_table, 'Some Key' AS to_column
     FROM lens_sources""")
 def _unresolved(ctx):
     return catalog.unresolved_relations(resolved_relations(ctx))

@@ -399,9 +399,8 @@ def _reasons(ctx):
 
 @query("not_deletable", f"""
     WITH {FINAL_CTES}, {SKIP_RANK}
-    SELECT model_id, reason, table_name, 1 AS part_no, count(*) AS n_members, list(item_name ORDER BY item_name) AS columns
-    FROM (SELECT c.model_id, c.table_name, c.column_name AS item_name, {REASON} AS reason FROM cand c JOIN reasons r ON r.model_id = c.model_id AND r.key_norm = c.key_norm) s
-    GROUP BY model_id, reason, table_name""")
+    SELECT model_id, reason, table_name, item_name, row_number() OVER (PARTITION BY model_id, reason, table_name ORDER BY item_name) AS position
+    FROM (SELECT DISTINCT c.model_id, c.table_name, c.column_name AS item_name, {REASON} AS reason FROM cand c JOIN reasons r ON r.model_id = c.model_id AND r.key_norm = c.key_norm) s""")
 def _not_deletable(ctx):
     cands, reasons = lens_reasons(ctx, materialise(final(ctx)), "tmdl_only")
     return cleanup.not_deletable(cands.join(reasons, ["model_id", "key_norm"]).withColumnRenamed("column_name", "item_name"))

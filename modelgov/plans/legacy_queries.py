@@ -256,11 +256,11 @@ def _tom_annotations(ctx):
 
 
 @query("annotation_lists", f"""
-    SELECT model_id, object_kind, object_id, 1 AS part_no, count(*) AS n_members, list(pair ORDER BY pair) AS pairs
-    FROM (SELECT DISTINCT model_id, object_kind, object_id, name || '=' || value AS pair FROM ({TOM_ANNOTATIONS}) a WHERE object_kind = 'table') p
-    GROUP BY model_id, object_kind, object_id""")
+    SELECT model_id, object_kind, object_type, object_id, name, value,
+        row_number() OVER (PARTITION BY model_id, object_type, object_id ORDER BY name, value) AS position
+    FROM ({TOM_ANNOTATIONS}) a""")
 def _annotation_lists(ctx):
-    return tom.annotation_lists(annotations(ctx).filter(F.col("object_kind") == "table"))
+    return tom.annotation_lists(annotations(ctx))
 
 
 # ---- rendered text ----
@@ -301,8 +301,7 @@ RENDERED = f"""
     p AS (SELECT model_id, table_id, '\tpartition ' || partition || ' = ' || kind || {NL} || '\t\tmode: ' || mode || {NL}
             || CASE WHEN kind = 'm' THEN '\t\tsource =' || {NL} || '\t\t\t' ELSE '\t\tsource = ' END || replace(source, {NL}, {NL} || '\t\t\t') || {NL} || {NL} AS body FROM ({TOM_PARTITIONS}) p),
     n AS ({TABLE_NOTES})
-    SELECT t.model_id, 'tables/' || t.table_name || '.tmdl' AS path, CAST(0 AS BIGINT) AS piece_no,
-        'table ' || {q('t.table_name')} || {NL} || {flag('	isHidden', 'is_hidden')} || {flag('	isPrivate', 'is_private')} || {flag('	showAsVariationsOnly', 'variations_only')}
+    SELECT t.model_id, 'tables/' || t.table_name || '.tmdl' AS path,        'table ' || {q('t.table_name')} || {NL} || {flag('	isHidden', 'is_hidden')} || {flag('	isPrivate', 'is_private')} || {flag('	showAsVariationsOnly', 'variations_only')}
         || '\tlineageTag: ' || lineage_tag || {NL} || {NL} || coalesce(m.body, '') || coalesce(c.body, '') || coalesce(h.body, '') || coalesce(p.body, '') || coalesce(n.notes, '') AS content
     FROM t LEFT JOIN m ON m.model_id = t.model_id AND m.table_id = t.table_id LEFT JOIN c ON c.model_id = t.model_id AND c.table_id = t.table_id
     LEFT JOIN h ON h.model_id = t.model_id AND h.table_id = t.table_id LEFT JOIN p ON p.model_id = t.model_id AND p.table_id = t.table_id
@@ -322,7 +321,7 @@ def _render(ctx):
 
 
 @query("render_relations_text", f"""
-    SELECT model_id, 'relationships.tmdl' AS path, CAST(0 AS BIGINT) AS piece_no, string_agg('relationship ' || relationship || {NL}
+    SELECT model_id, 'relationships.tmdl' AS path, string_agg('relationship ' || relationship || {NL}
         || {flag('	crossFilteringBehavior: bothDirections', "cross_filter = 'bothDirections'")} || {flag('	isActive: false', 'NOT is_active')}
         || CASE WHEN from_column IS NULL THEN '' ELSE '\tfromColumn: ' || {q('from_table')} || '.' || {q('from_column')} || {NL} END
         || CASE WHEN to_column IS NULL THEN '' ELSE '\ttoColumn: ' || {q('to_table')} || '.' || {q('to_column')} || {NL} END || {NL}, '' ORDER BY relationship_id, relationship) AS content
@@ -332,7 +331,7 @@ def _render_relations(ctx):
 
 
 @query("render_roles_text", f"""
-    SELECT model_id, 'roles/' || role || '.tmdl' AS path, CAST(0 AS BIGINT) AS piece_no, 'role ' || {q('role')} || {NL} || '\tdescription: ' || max(description) || {NL} || {NL}
+    SELECT model_id, 'roles/' || role || '.tmdl' AS path, 'role ' || {q('role')} || {NL} || '\tdescription: ' || max(description) || {NL} || {NL}
         || string_agg('\ttablePermission ' || {q('table_name')} || {NL} || '\t\tfilterExpression = ' || filter_expression || {NL} || {NL}, '' ORDER BY table_name) AS content
     FROM ({TOM_ROLES}) r GROUP BY model_id, role""")
 def _render_roles(ctx):
@@ -340,9 +339,9 @@ def _render_roles(ctx):
 
 
 @query("render_stubs_text", f"""
-    SELECT model_id, 'model.tmdl' AS path, CAST(0 AS BIGINT) AS piece_no, 'model Model' || {NL} || '\tculture: en-US' || {NL} || '\tdefaultPowerBIDataSourceVersion: powerBI_V3' || {NL}
+    SELECT model_id, 'model.tmdl' AS path, 'model Model' || {NL} || '\tculture: en-US' || {NL} || '\tdefaultPowerBIDataSourceVersion: powerBI_V3' || {NL}
         || '\tsourceQueryCulture: en-US' || {NL} || {NL} || string_agg('ref table ' || {q('table_name')} || {NL}, '' ORDER BY table_id) || {NL} AS content FROM ({TOM_TABLES}) t GROUP BY model_id
-    UNION ALL SELECT DISTINCT model_id, 'database.tmdl', CAST(0 AS BIGINT), 'database' || {NL} || '\tcompatibilityLevel: 1600' || {NL} FROM ({TOM_TABLES}) t""")
+    UNION ALL SELECT DISTINCT model_id, 'database.tmdl', 'database' || {NL} || '\tcompatibilityLevel: 1600' || {NL} FROM ({TOM_TABLES}) t""")
 def _stubs(ctx):
     return render.assemble(render.model_parts(tom_tables(ctx)))
 

@@ -137,8 +137,9 @@ def _measure_usage(ctx):
 
 
 @query("measure_dependencies", f"""
-    SELECT model_id, table_name, measure, dep_table, 1 AS part_no, count(*) AS n_members, string_agg(dep_column, ', ' ORDER BY dep_column) AS names
-    FROM ({cq.CLOSURE}) c GROUP BY model_id, table_name, measure, dep_table""")
+    SELECT model_id, table_name, measure, dep_table, dep_column,
+        row_number() OVER (PARTITION BY model_id, table_name, measure, dep_table ORDER BY dep_column) AS position
+    FROM (SELECT DISTINCT model_id, table_name, measure, dep_table, dep_column FROM ({cq.CLOSURE}) c) d""")
 def _dependencies(ctx):
     return rp.grouped_dependencies(cq.closure(ctx))
 

@@ -17,11 +17,11 @@ def hot_rows(n=600):
     return [(0 if i % 3 == 0 else rnd.randint(1, 40), rnd.randint(0, 10_000), i) for i in range(n)]
 
 
-@pytest.mark.parametrize("limit", [10_000, 5])
-def test_number_within_both_ways(spark, limit):
-    rows = hot_rows()
+@pytest.mark.parametrize("size", [10, 600])
+def test_number_within(spark, size):
+    rows = hot_rows(size)
     df = spark.createDataFrame(rows, "g int, o int, i int").repartition(7)
-    got = {(r.g, r.o, r.i): r.n for r in rank.number_within(df, ["g"], ["o", "i"], "n", max_rows=limit).collect()}
+    got = {(r.g, r.o, r.i): r.n for r in rank.number_within(df, ["g"], ["o", "i"], "n").collect()}
     want = {}
     for g in {r[0] for r in rows}:
         for n, row in enumerate(sorted(r for r in rows if r[0] == g), 1):
@@ -29,12 +29,23 @@ def test_number_within_both_ways(spark, limit):
     assert got == want
 
 
-def test_listed_splits_large_groups(spark):
-    df = spark.createDataFrame([("a", f"v{i:03}") for i in range(100)] + [("b", "x"), ("b", "x")], "g string, v string")
-    rows = rank.listed(df, ["g"], "v", "vs", per_list=10).collect()
-    a = [r for r in rows if r.g == "a"]
-    assert len(a) > 1 and sorted(v for r in a for v in r.vs) == [f"v{i:03}" for i in range(100)]
-    assert [(r.part_no, r.n_members, r.vs) for r in rows if r.g == "b"] == [(1, 1, ["x"])]
+def test_listed_has_one_form_for_any_size(spark):
+    df = spark.createDataFrame([("a", f"v{i:04}") for i in range(2000)] + [("b", "x"), ("b", "x"), (None, "y")], "g string, v string")
+    rows = {(r.g, r.position): r.v for r in rank.listed(df, ["g"], "v").collect()}
+    assert rows == {("a", i + 1): f"v{i:04}" for i in range(2000)} | {("b", 1): "x", (None, 1): "y"}
+
+
+def test_formula_lines(spark):
+    blocks = [
+        "\tmeasure A = 1 + 2\n\t\tformatString: 0\n\t\tannotation x = y\n\n",
+        "\tmeasure 'B = c' =\n\t\t\tVAR x = 1\n\n\t\t\t\tRETURN x\n\t\tlineageTag: t\n\t\t\tnot part of it\n",
+        "\tmeasure C = ```\n\t\t\tIF(a,\n\t\t\t\tb)\n\t\t\t```\n\t\tdisplayFolder: f\n",
+        "\tmeasure D =\n\t\t```\n\t\tx\n\t\t```\n",
+        "\tmeasure E =",
+    ]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(blocks)], "i int, block string")
+    got = [r.f for r in df.select("i", tp.formula_text(F.col("block")).alias("f")).orderBy("i").collect()]
+    assert got == ["1 + 2", "VAR x = 1\n    RETURN x", "IF(a,\n    b)", "x", ""]
 
 
 def brute_reach(edges):
@@ -133,13 +144,19 @@ def test_containers_in_both_encodings(spark):
     assert got["a"] == "{}" and got["c"] is None and got["b"]
 
 
-def test_large_files_come_in_pieces(spark):
+def test_large_files_are_one_text_that_reads_back(spark):
+    n = 9000
+    rows = [("m", "big", 0, 0, 0, "", "table T\n\n")] + [("m", "big", 1, i, 0, "", f"\tcolumn C{i}\n\t\tsourceColumn: s{i}\n\n") for i in range(n)]
+    parts = spark.createDataFrame(rows, "model_id string, path string, section int, ordinal long, step int, sub string, text string").repartition(5)
+    columns = tp.parse_columns(tp.blocks(render.assemble(parts))).collect()
+    assert [(r.column_name, r.source_column) for r in sorted(columns, key=lambda r: r.block_no)] == [(f"C{i}", f"s{i}") for i in range(n)]
+
+
+def test_files_are_put_together_in_order(spark):
     rows = [("m", "big", 1, i, 0, "", f"line {i}\n") for i in range(9000)] + [("m", "small", 0, 0, 0, "", "x\n"), ("m", "small", 1, 0, 0, "", "y\n")]
     parts = spark.createDataFrame(rows, "model_id string, path string, section int, ordinal long, step int, sub string, text string")
-    got = render.assemble(parts, max_chars=1000).orderBy("path", "piece_no").collect()
-    assert [r.content for r in got if r.path == "small"] == ["x\ny\n"]
-    big = [r.content for r in got if r.path == "big"]
-    assert len(big) == 3 and "".join(big) == "".join(f"line {i}\n" for i in range(9000))
+    got = {r.path: r.content for r in render.assemble(parts).collect()}
+    assert got == {"small": "x\ny\n", "big": "".join(f"line {i}\n" for i in range(9000))}
 
 
 def test_blocks_join_to_the_file_again(spark):

@@ -127,8 +127,8 @@ def test_cleaned_text(spark, result):
     assert files["Two", "Loose"].deleted and not files["Two", "Area"].changed
     removed = {(r.item_name, r.item_type) for r in spark.read.parquet(f"{out}/cleanup/removed").collect()}
     assert ("(entire table)", "Empty Table Deleted") in removed and ("Idle", "Measure") in removed
-    skipped = {(r.item_name, r.reason[:14]) for r in spark.read.parquet(f"{out}/cleanup/skipped").collect()}
-    assert skipped == {("Month No", "Supports Date ")}
+    skipped = {(r.item_name, r.reason) for r in spark.read.parquet(f"{out}/cleanup/skipped").collect()}
+    assert skipped == {("Month No", "kept_variation_needs_it")}
 
 
 def test_stream_gives_the_same_rows(spark, corpus):

@@ -1,10 +1,16 @@
 """License scans by patience alignment of texts with license notices.
 
-Method.  Around the places where a text uses the telling words of a notice, a window of its words
-is aligned with the notice: words that occur once in both are anchors, the longest increasing
-subsequence of anchors is kept, and the gaps between them are aligned in the same way.  Coverage
-is the share of the notice's words that the alignment finds.  A window starts anew where a telling
-word comes more often than the notice has it, so repeated notices are separate finds.
+Method.  A find is a stretch of a text that holds enough of a notice's words in their order.  Finds
+are located exactly, by the length of the longest common subsequence kept in the bits of one number:
+the stretch of at most ``SPAN`` notice lengths that ends first, from its latest start, then the next
+one behind it, so that words before, inside or behind a notice cut nothing and repeated notices are
+separate finds.  What lies between is searched once more for notices spread wider, in the longest
+stretches where no telling word comes more often than the notice has it nor a notice length after the
+one before.  A find takes in what else of its notice stands up to a notice length to either side.
+Then it is aligned with the notice: words that occur once in both are anchors, the longest increasing
+subsequence of anchors is kept, and the gaps between them are aligned in the same way; if repeated
+words hide pairs from that, all equal words are taken as anchors.  Coverage is the share of the
+notice's words that the alignment finds.
 
 Most texts are told apart before any alignment by an exact bound: a notice can only reach the
 threshold if enough of its word positions hold words that occur in the text at all.
@@ -26,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 THRESHOLD = 0.8
+SPAN = 3
 WORD = re.compile(r"\w+(?:[.\-]\w+)*")
 
 #: License notices (fixed values), by license and form.
@@ -144,24 +151,120 @@ class Notice:
                     return False
         return lost < len(self.words)
 
-    def windows(self, words: list[str]) -> Iterator[tuple[int, int]]:
-        """Ranges of words around one use of the notice's telling words each."""
-        size = len(self.words)
-        groups: list[list[int]] = []
-        used: Counter = Counter()
+    @cached_property
+    def times(self) -> Counter:
+        return Counter(self.words)
+
+    @cached_property
+    def last(self) -> dict[str, int]:
+        return {w: j for j, w in enumerate(self.words)}
+
+    @cached_property
+    def masks(self) -> tuple[dict[str, int], dict[str, int]]:
+        """The places of each word as bits, from the notice's start and from its end."""
+        ahead: Counter = Counter()
+        back: Counter = Counter()
+        for j, w in enumerate(self.words):
+            ahead[w] |= 1 << j
+            back[w] |= 1 << (len(self.words) - 1 - j)
+        return dict(ahead), dict(back)
+
+    def common(self, words: list[str], places: range, most: int) -> tuple[int, int]:
+        """Longest common subsequence with the words at these places, up to most, and the last place it needs."""
+        masks = self.masks[0 if places.step > 0 else 1]
+        full = (1 << len(self.words)) - 1
+        free, got, at = full, 0, -1
+        for i in places:
+            mask = masks.get(words[i])
+            if mask:
+                hit = free & mask
+                free = ((free + hit) | (free - hit)) & full
+                now = len(self.words) - free.bit_count()
+                if now > got:
+                    got, at = now, i
+                    if got >= most:
+                        break
+        return got, at
+
+    def tight(self, words: list[str], lo: int, hi: int) -> tuple[int, int, int]:
+        """(words in common, start, end) of the first shortest stretch with all that a range has in common."""
+        got, last = self.common(words, range(lo, hi), len(self.words))
+        return got, self.common(words, range(last, lo - 1, -1), got)[1], last + 1
+
+    def cores(self, words: list[str], need: int) -> list[tuple[int, int]]:
+        """Stretches that hold just the need, each the first to end behind the one before."""
+        span = SPAN * len(self.words)
+        out = []
+        left, have = 0, 0
+        seen: Counter = Counter()
         for i, w in enumerate(words):
-            most = self.telling.get(w)
-            if not most:
+            if w not in self.times:
                 continue
-            if not groups or i - groups[-1][1] > size or used[w] >= most:
-                groups.append([i, i])
-                used = Counter()
-            groups[-1][1] = i
+            while i - left >= span:
+                gone = words[left]
+                if gone in self.times:
+                    have -= seen[gone] <= self.times[gone]
+                    seen[gone] -= 1
+                left += 1
+            seen[w] += 1
+            have += seen[w] <= self.times[w]
+            # the last of the words needed stands behind the others in the notice too
+            if have >= need and self.last[w] >= need - 1:
+                got, start = self.common(words, range(i, left - 1, -1), need)
+                if got >= need:
+                    out.append((start, i + 1))
+                    left, have = i + 1, 0
+                    seen = Counter()
+        return out
+
+    def spread(self, words: list[str], lo: int, hi: int, need: int) -> list[tuple[int, int, int]]:
+        """Finds of any length in a range, by the longest stretches without a telling word too many."""
+        size = len(self.words)
+        at = [i for i in range(lo, hi) if words[i] in self.telling]
+        groups: list[tuple[int, int]] = []
+        first = 0
+        used: Counter = Counter()
+        for k, i in enumerate(at):
+            w = words[i]
+            if k > first and i - at[k - 1] > size:
+                groups.append((first, k))
+                first, used = k, Counter()
+            elif used[w] >= self.telling[w]:
+                groups.append((first, k))
+                while used[w] >= self.telling[w]:
+                    used[words[at[first]]] -= 1
+                    first += 1
             used[w] += 1
-        for k, (lo, hi) in enumerate(groups):
-            before = groups[k - 1][1] + 1 if k else 0
-            after = groups[k + 1][0] if k + 1 < len(groups) else len(words)
-            yield max(before, lo - size), min(after, hi + 1 + size)
+        groups.append((first, len(at)))
+        able = []
+        for a, b in groups:
+            if b - a >= max(1, need - size + self.telling.total()):
+                before, after = at[a - 1] + 1 if a else lo, at[b] if b < len(at) else hi
+                found = self.tight(words, max(before, at[a] - size), min(after, at[b - 1] + 1 + size))
+                if found[0] >= need:
+                    able.append(found)
+        out: list[tuple[int, int, int]] = []
+        for found in sorted(able, key=lambda f: (-f[0], f[2] - f[1], f[1])):
+            if all(found[2] <= f[1] or f[2] <= found[1] for f in out):
+                out.append(found)
+        return out
+
+    def finds(self, words: list[str], least: float) -> list[tuple[int, int, int]]:
+        """(words in common, start, end) of every use of the notice, without overlaps, in order."""
+        size = len(self.words)
+        need = next(k for k in range(1, size + 2) if k >= least * size)
+        cores = self.cores(words, need)
+        out = []
+        end = 0
+        for k, (lo, hi) in enumerate(cores):
+            after = cores[k + 1][0] if k + 1 < len(cores) else len(words)
+            out.append(self.tight(words, max(end, lo - size), min(after, hi + size)))
+            end = out[-1][2]
+        edges = [0, *(x for f in out for x in f[1:]), len(words)]
+        for lo, hi in zip(edges[::2], edges[1::2], strict=True):
+            if hi - lo >= need:
+                out += self.spread(words, lo, hi, need)
+        return sorted(out, key=lambda f: f[1])
 
 
 def scan(text: str, notices: list[Notice], least: float = THRESHOLD) -> list[tuple[str, str, float, int, int]]:
@@ -173,12 +276,14 @@ def scan(text: str, notices: list[Notice], least: float = THRESHOLD) -> list[tup
     words, spans = words_of(text)
     out = []
     for notice in able:
-        for lo, hi in notice.windows(words):
-            pairs = align(words[lo:hi], notice.words)
-            if pairs and len(pairs) >= least * len(notice.words):
-                out.append((
-                    notice.license, notice.form, len(pairs) / len(notice.words), spans[lo + pairs[0][0]][0], spans[lo + pairs[-1][0]][1]
-                ))
+        for got, lo, hi in notice.finds(words, least):
+            own = words[lo:hi]
+            pairs = align(own, notice.words)
+            if len(pairs) < got:
+                pairs = _rising([(i, j) for i, w in enumerate(own) for j in range(len(notice.words) - 1, -1, -1) if notice.words[j] == w])
+            out.append((
+                notice.license, notice.form, len(pairs) / len(notice.words), spans[lo + pairs[0][0]][0], spans[lo + pairs[-1][0]][1]
+            ))
     return out
 
 

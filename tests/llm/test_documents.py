@@ -297,6 +297,46 @@ def test_licenses(documents):
     assert license_patience.license_finds(documents([])).count() == 0
 
 
+def test_words_around_a_notice_do_not_cut_it():
+    """Behind a copyright line, behind and before each of its own words, with one of them again inside, and in a row."""
+    for known in (license_patience.Notice(*n) for n in license_patience.NOTICES):
+        text = known.text
+        words = text.split()
+
+        def found(body, known=known):
+            return [(f[2], body[f[3] : f[4]]) for f in license_patience.scan(body, [known])]
+
+        bare = text.rstrip(".")
+        for line in ("Copyright (c) 2020 Jane Doe.", "Copyright (c) 2020 Jane Doe. All rights reserved.", *known.telling):
+            assert found(f"{line}\n{text}") == [(1.0, bare)]
+            assert found(f"{text}\n{line}") == [(1.0, bare)]
+            middle = len(words) // 2
+            inside = found(" ".join([*words[:middle], line, *words[middle:]]))
+            assert [f[0] for f in inside] == [1.0]
+        assert found(f"Copyright Jane Doe. {text}\n" * 3) == [(1.0, bare)] * 3
+        assert found("x " * 500 + f"{text} {text}" + " y" * 500) == [(1.0, bare)] * 2
+
+
+def test_finds_hold_what_windows_hold():
+    """No stretch between the finds holds the need in a short window; finds do not overlap."""
+    rng = random.Random(8)
+    notice = license_patience.Notice("a", "b", "a b c d e f g h a b")
+    for _ in range(300):
+        words = [rng.choice("abcdefghxy") if rng.random() < 0.4 else "abcdefghab"[i % 10] for i in range(rng.randint(0, 60))]
+        finds = notice.finds(words, 0.8)
+        assert all(f[2] <= g[1] for f, g in zip(finds, finds[1:], strict=False))
+        edges = [0, *(x for f in finds for x in f[1:]), len(words)]
+        for lo, hi in zip(edges[::2], edges[1::2], strict=True):
+            for i in range(lo, hi):
+                assert notice.common(words, range(i, min(hi, i + 30)), 10)[0] < 8
+        for got, lo, hi in finds:
+            table = np.zeros((hi - lo + 1, 11), int)
+            for i in range(hi - lo):
+                for j in range(10):
+                    table[i + 1, j + 1] = max(table[i, j + 1], table[i + 1, j], table[i, j] + (words[lo + i] == notice.words[j]))
+            assert got == table[-1, -1] >= 8
+
+
 def test_alignment_rises_and_matches():
     rng = random.Random(4)
     for _ in range(300):

@@ -77,6 +77,57 @@ def test_recall_on_given_vectors(spark):
     assert 0.9 * want <= got <= want
 
 
+def test_recall_off_centre_and_with_few_components(spark):
+    """Pairs planted around a common direction (mean cosine of unlike rows), and in vectors of any length."""
+    rng = np.random.default_rng(11)
+    rows, links = [], {}
+    for k, (size, common) in enumerate([(8, 0.0), (16, 0.0), (32, 0.0), (64, 0.8), (63, 0.69), (384, 0.8)]):
+        centre = rng.normal(size=size)
+        centre *= np.sqrt(common) / np.linalg.norm(centre)
+        x = centre + rng.normal(size=(500, size)) * np.sqrt((1 - common) / size)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        noise = rng.normal(size=x.shape)
+        noise -= (noise * x).sum(axis=1, keepdims=True) * x
+        noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+        cosine = rng.uniform(0.9, 0.97, size=(500, 1))
+        x = np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * noise])
+        links[k] = int(((x @ x.T) >= 0.9).sum() - len(x))
+        rows += [(10_000 * k + i, v.tolist()) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = itq_near_dup.near_duplicates(frame).groupBy((F.col("vec_id") / 10_000).cast("int").alias("k")).agg(F.sum("n_links").alias("n"))
+    for k, n in got.collect():
+        assert 0.9 * links[k] <= n <= links[k], (k, n, links[k])
+
+
+@pytest.mark.parametrize("plan", [(16, 2, 20), (16, 3, 64), (12, 1, 25), (8, 0, 64)])
+def test_tables_give_each_near_pair_once(spark, plan):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(120, 40))
+    x = np.concatenate([x, x + rng.normal(size=x.shape) * 0.3, x[:5]])
+    centre, projection = itq_near_dup.projection_of(x, 64)
+    codes = itq_near_dup.codes_of(x, centre, projection)
+    width, most, radius = plan
+    want = set()
+    for i in range(len(x)):
+        for j in range(i):
+            differ = int(codes[i] ^ codes[j])
+            parts = [((differ >> lo) & ((1 << n) - 1)).bit_count() for lo, n in itq_near_dup.tables_of(64, width)]
+            if not differ or min(parts) <= most and differ.bit_count() <= radius:
+                want.add((j, i))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, unit array<double>")
+    got = [tuple(r) for r in itq_near_dup.table_pairs(frame, centre, projection, plan, Work(spark, "t")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_blocks_give_each_linked_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(itq_near_dup, "BLOCK", 64)
+    x = np.random.default_rng(13).normal(size=(400, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, unit array<double>")
+    got = [tuple(r) for r in itq_near_dup.block_pairs(frame, 0.9, 400, 5).collect()]
+    assert sorted(got) == list(map(tuple, np.argwhere(np.triu(x @ x.T >= 0.9, 1)).tolist()))
+
+
 def test_rotation_is_orthogonal():
     sample = np.random.default_rng(1).normal(size=(500, 16))
     _, projection = itq_near_dup.learn_rotation(sample, 16)

@@ -93,23 +93,23 @@ def groups_of(n: int) -> int:
 
 def counts_of(shingles: np.ndarray) -> np.ndarray:
     g = groups_of(len(shingles))
-    return np.bincount((shingles >> np.uint64(64 - (g.bit_length() - 1))).astype(np.int64), minlength=g).astype(np.uint16)
+    return np.bincount((shingles >> np.uint64(64 - (g.bit_length() - 1))).astype(np.int64), minlength=g).astype(np.uint32)
 
 
 def point_bytes(shingles: np.ndarray) -> bytes:
-    """Counts as bytes, in the narrowest of two widths that holds them; the first byte names it."""
+    """Counts as bytes, in the narrowest of three widths that holds them; the first byte names it."""
     counts = counts_of(shingles)
-    kind = np.uint8 if counts.max(initial=0) < 256 else np.uint16
+    kind = np.min_scalar_type(counts.max(initial=0)).type
     return bytes([kind().itemsize]) + counts.astype(kind).tobytes()
 
 
 def point(raw) -> np.ndarray:
-    return np.frombuffer(raw, np.uint8 if raw[0] == 1 else np.uint16, offset=1).astype(np.uint16)
+    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32}[raw[0]], offset=1)
 
 
 def folded(counts: np.ndarray, groups: int) -> np.ndarray:
-    """Counts over fewer groups: neighbouring groups summed."""
-    return counts.reshape(groups, -1).sum(axis=1, dtype=np.uint16) if len(counts) > groups else counts
+    """Counts over fewer groups: neighbouring groups summed, in a width that holds any text's shingles."""
+    return counts.reshape(groups, -1).sum(axis=1, dtype=np.uint32) if len(counts) > groups else counts
 
 
 def profiles(docs: DataFrame) -> DataFrame:
@@ -355,7 +355,7 @@ class Tree:
             level, i, j = stack.pop()
             a, b = self.inside[level][i], self.inside[level][j]
             g = min(a.shape[1], b.shape[1])
-            a, b = (m.reshape(len(m), g, -1).sum(axis=2, dtype=np.uint16) if m.shape[1] > g else m for m in (a, b))
+            a, b = (m.reshape(len(m), g, -1).sum(axis=2, dtype=np.uint32) if m.shape[1] > g else m for m in (a, b))
             low, high, first, last = self.levels[level - 1]
             x, y = np.arange(i * LEAF, i * LEAF + len(a)), np.arange(j * LEAF, j * LEAF + len(b))
             bound = np.minimum(a[:, None, :], b[None, :, :]).sum(axis=2, dtype=np.int64)

@@ -275,6 +275,31 @@ def test_tree_loses_no_pair():
     assert linked and linked <= found and len(found) < len(sets) ** 2 // 4
 
 
+def test_counts_of_huge_sets_do_not_wrap():
+    """Near copies of over 16 * 65,535 shingles in one run with a tiny set, and a group of over 65,535."""
+    rng = np.random.default_rng(5)
+    huge = rng.integers(1 << 64, size=1_150_000, dtype=np.uint64)
+    sets = [np.unique(s) for s in (huge, huge[:-1000], huge[:10])]
+    raw = [ngram_rtree_join.point_bytes(s) for s in sets]
+    tree = ngram_rtree_join.Tree(np.asarray([len(s) for s in sets]), np.arange(3), [ngram_rtree_join.point(r) for r in raw])
+    assert [set(p) for p in tree.pairs()] == [{0, 1}]
+    counts = [ngram_rtree_join.folded(ngram_rtree_join.point(r), 16).sum(dtype=np.int64) for r in raw]
+    assert counts == [len(s) for s in sets]
+    crowded = ngram_rtree_join.point(ngram_rtree_join.point_bytes(np.arange(70_000, dtype=np.uint64)))
+    assert crowded.sum(dtype=np.int64) == 70_000
+
+
+def test_boxes_of_huge_sets_do_not_wrap():
+    """The same above the leaves, where boxes of huge sets are held against boxes of tiny ones."""
+    rng = np.random.default_rng(6)
+    huge = rng.integers(1 << 64, size=1_150_000, dtype=np.uint64)
+    sets = [np.unique(huge[k:]) for k in range(12)] + [np.unique(huge[20 * k : 20 * k + 10 + k]) for k in range(4)]
+    counts = [ngram_rtree_join.point(ngram_rtree_join.point_bytes(s)) for s in sets]
+    tree = ngram_rtree_join.Tree(np.asarray([len(s) for s in sets]), np.arange(len(sets)), counts)
+    found = {frozenset(p) for p in tree.pairs()}
+    assert {frozenset((i, j)) for i in range(12) for j in range(i)} <= found
+
+
 # licenses
 
 

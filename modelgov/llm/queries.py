@@ -76,11 +76,11 @@ def op9_ngram_rtree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token ids are the UTF-8 bytes of the texts (a byte vocabulary)."""
-    docs = table(spark, sf_dir, "documents")
-    path = f"{Work(spark, 'training-order').root}/shards"
-    shards, _ = feistel_shards.write_shards(docs, path, tokens=F.col("text").cast("binary"))
-    return feistel_shards.read_slots(shards).drop("tokens")
+    """Token ids of op2's vocabulary, two bytes each; encoded once, because the shards read them twice."""
+    work = Work(spark, "training-order")
+    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    shards, _ = feistel_shards.write_shards(work.keep(feistel_shards.packed_ids(ids)), f"{work.root}/shards", width=2)
+    return feistel_shards.read_slots(shards, width=2).drop("tokens")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from modelgov.llm import byte_bpe, feistel_shards, hash_mixture, license_patience, minimax_shards, ngram_rtree_join, quality_rff
+from modelgov.llm import byte_bpe, feistel_shards, hash_mixture, license_patience, minimax_shards, ngram_rtree_join, quality_rff, queries
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 ODD = [(None, "no id"), (1, None), (2, ""), (3, " \n\t "), (4, "one"), (4, "one"), (5, "one"), (6, "word " * 30_000)]
@@ -411,6 +412,21 @@ def test_shards_give_every_token_back(documents, tmp_path):
     assert total == 0 and empty.count() == 0
 
 
+def test_query_writes_token_ids(spark):
+    """The registered query's sequences hold the ids of op2's vocabulary."""
+    sf = "/root/testdata/sf0.001"
+    codec = byte_bpe.codec(PATH)
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    want = Counter()
+    for doc, ids in zip([r.doc_id for r in rows], codec.encode([r.text for r in rows]), strict=True):
+        for k in range(max(1, -(-len(ids) // 2048))):
+            part = np.asarray(ids[2048 * k : 2048 * (k + 1)], np.uint16)
+            want[doc, k, len(part), zlib.crc32(part.tobytes())] += 1
+    got = queries.op10_feistel_shards(spark, sf).collect()
+    assert Counter((r.doc_id, r.sequence, r.n_tokens, r.crc32) for r in got) == want
+    assert sorted(r.slot for r in got) == list(range(len(got)))
+
+
 def test_shards_of_token_ids(documents, tmp_path):
     docs = documents([(1, "some words to encode " * 50), (2, "")])
     packed = feistel_shards.packed_ids(byte_bpe.encode(docs, PATH))

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    block_topk, byte_bpe, feistel_shards, hash_mixture, itq_near_dup, license_patience, minimax_shards, ngram_rtree_join,
-    quality_rff, warc_revisits,
+    block_topk, byte_bpe, feistel_shards, hash_mixture, itq_near_dup, license_patience, merkle_manifest, minimax_shards,
+    ngram_rtree_join, quality_rff, warc_revisits,
 )
 from .work import Work
 
@@ -83,11 +83,20 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_shards.read_slots(shards, width=2).drop("tokens")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 7 divides the crc32 of the decimal id, the proof is tried on a leaf with one more in ``n_chars``."""
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
+    proved = merkle_manifest.prove(table(spark, sf_dir, "documents"), tampered, {"n_chars": more})
+    return proved.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_byte_bpe, op3_minimax_shards, op4_itq_near_duplicates, op5_license_scan, op6_block_topk,
         op7_hash_mixture, op8_warc_revisits, op9_ngram_rtree_join, op10_feistel_shards,
+        op12_merkle_manifest,
     )
 }
 
@@ -185,4 +194,54 @@ SELECT record_id, url, seconds, refers_to, outcome,
 FROM o
 """
 
-ORACLES = {"op6_block_topk": SQL_6, "op7_hash_mixture": SQL_7, "op8_warc_revisits": SQL_8}
+SQL_12 = """
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS i))
+), rows AS (
+  SELECT *, xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 7 = 0 AS tampered
+  FROM documents, crc_table
+), hashed AS (
+  SELECT doc_id, lang, coalesce(tampered, false) AS tampered, sha256(head || coalesce(len(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+    sha256(head || coalesce(len(CAST(n_chars::HUGEINT + 1 AS VARCHAR)) || ':' || (n_chars::HUGEINT + 1), '-') || tail) AS changed
+  FROM (SELECT *,
+      coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+        || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+      coalesce(strlen(text) || ':' || text, '-') AS tail FROM rows)
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM hashed
+), up AS (
+  SELECT 0 AS lv, lang, pos, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT lv + 1, lang, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY lv, lang, pos // 2, n
+), subroots AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1
+), up2 AS (
+  SELECT 0 AS lv, pos, n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT lv + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM up2 WHERE n > 1 GROUP BY lv, pos // 2, n
+), top AS (SELECT h AS root FROM up2 WHERE n = 1),
+path AS (
+  SELECT l.lang, l.pos, u.lv, s.h AS beside, s.pos % 2 = 0 AS is_left
+  FROM leaves l JOIN up u ON u.lang IS NOT DISTINCT FROM l.lang AND u.pos = l.pos >> u.lv AND u.n > 1
+  LEFT JOIN up s ON s.lang IS NOT DISTINCT FROM u.lang AND s.lv = u.lv AND s.pos = xor(u.pos, 1)
+  UNION ALL
+  SELECT l.lang, l.pos, 1000 + u.lv, s.h, s.pos % 2 = 0
+  FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang JOIN up2 u ON u.pos = r.pos >> u.lv AND u.n > 1
+  LEFT JOIN up2 s ON s.lv = u.lv AND s.pos = xor(u.pos, 1)
+), proofs AS (
+  SELECT lang, pos, list(struct_pack(b := beside, l := is_left) ORDER BY lv) AS steps FROM path GROUP BY lang, pos
+), done AS (
+  SELECT l.doc_id, l.leaf, r.subroot, top.root, sha256(coalesce(array_to_string([x.b FOR x IN p.steps IF x.b IS NOT NULL], ''), '')) AS proof_sha256,
+    list_reduce(list_prepend(struct_pack(b := CASE WHEN l.tampered THEN l.changed ELSE l.leaf END, l := false), coalesce(p.steps, [])),
+      lambda h, x: struct_pack(b := sha256(CASE WHEN x.b IS NULL THEN h.b WHEN x.l THEN x.b || h.b ELSE h.b || x.b END), l := false)).b AS folded_root
+  FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang CROSS JOIN top
+  LEFT JOIN proofs p ON p.lang IS NOT DISTINCT FROM l.lang AND p.pos = l.pos
+)
+SELECT *, folded_root = root AS verified FROM done
+"""
+
+ORACLES = {"op6_block_topk": SQL_6, "op7_hash_mixture": SQL_7, "op8_warc_revisits": SQL_8, "op12_merkle_manifest": SQL_12}

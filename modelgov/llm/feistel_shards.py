@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.rank import number_within
 from .tokens import mix
 from .work import Work, rows_like
 
@@ -55,17 +56,6 @@ def permuted(at: np.ndarray, total: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def packed_ids(df: DataFrame, key: str = "doc_id", ids: str = "ids", kind: str = "uint16") -> DataFrame:
-    """``key``, ``tokens``: a list of ids as fixed-width binary."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [np.asarray(x.as_py() or [], kind).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], [key, "tokens"])
-
-    return df.select(key, ids).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, tokens binary")
-
-
 def write_shards(
     docs: DataFrame, path: str, *, tokens: Column | None = None, width: int = 1, length: int = 2048, per_shard: int = 2048,
     key: int = 17, id_column: str = "doc_id",
@@ -75,43 +65,31 @@ def write_shards(
     work = Work(spark, "feistel")
     size = length * width
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col("tokens") if tokens is None else tokens, F.lit(b"")).alias("tokens"))
-    digest = F.xxhash64("tokens").alias("digest")
     n = F.greatest(F.lit(1), F.ceil(F.octet_length("tokens") / size)).cast("long").alias("n")
-    rows = rows.select("id", digest, n, "tokens")
-    cell = F.pmod(F.xxhash64("id", "digest"), F.lit(CELLS)).cast("int")
-    rows = rows.withColumn("cell", cell)
-    sums = sorted((r["cell"], r["n"]) for r in rows.groupBy("cell").agg(F.sum("n").alias("n")).collect())  # CELLS rows at most
-    before, starts = 0, []
-    for c, m in sums:
-        starts.append((c, before))
-        before += m
-    total = before
-    offsets = rows_like(spark, "cell int, _before bigint", starts)
-    running = F.sum("n").over(W.partitionBy("cell").orderBy("id", "digest").rowsBetween(W.unboundedPreceding, W.currentRow))
-    numbered = rows.withColumn("_inside", running - F.col("n")).join(F.broadcast(offsets), "cell").select(
-        "id", (F.col("_before") + F.col("_inside")).alias("first"), "tokens"
-    )
+    small = _squeezed(rows.select("id", F.xxhash64("tokens").alias("digest"), n, "tokens"))
+    held = work.keep(small.withColumn("row", F.monotonically_increasing_id()))
+    firsts, total = _numbered(held.select("row", "id", "digest", "n"), work)
+    numbered = held.select("row", "id", "tokens").join(firsts, "row").select("id", "first", "tokens")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, firsts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             slots, records = [], []
-            held = 0
+            taken = 0
 
             def out() -> pa.RecordBatch:
                 at = permuted(np.asarray(slots, np.uint64), total, key)
                 return pa.RecordBatch.from_arrays([pa.array(at), pa.array(at // per_shard), pa.array(records, pa.binary())], ["slot", "shard", "record"])
 
-            for doc, first, cell_ in zip(ids, firsts, batch.column(2), strict=True):
-                whole = cell_.as_py()
+            for doc, first, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                whole = unsqueezed(cell.as_py())
                 for k in range(max(1, -(-len(whole) // size))):
                     part = whole[k * size : (k + 1) * size]
                     slots.append(first + k)
-                    records.append(struct.pack("<qII", NO_ID if doc is None else doc, k, len(part) // width) + part)
-                    held += len(part)
-                    if held > 16_000_000:
+                    records.append(squeezed(struct.pack("<qII", NO_ID if doc is None else doc, k, len(part) // width) + part))
+                    taken += len(part)
+                    if taken > 4_000_000:
                         yield out()
-                        slots, records, held = [], [], 0
+                        slots, records, taken = [], [], 0
             if slots:
                 yield out()
 
@@ -136,36 +114,84 @@ def write_shards(
                     if records:
                         yield out()
                     shard, first, records = own, slot, []
-                records.append(record.as_py().ljust(stride, b"\0"))
+                records.append(unsqueezed(record.as_py()).ljust(stride, b"\0"))
         if records:
             yield out()
 
     done = ranged.mapInArrow(glue, "shard long, first_slot long, n long, stride long, payload binary")
     done.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(path)
-    del work
+    work.drop(held, firsts)
     return spark.read.schema(done.schema).parquet(path), total
 
 
+def squeezed(body: bytes) -> bytes:
+    """Compressed for the way through a shuffle, in front its length."""
+    return struct.pack("<I", len(body)) + pa.compress(body, "zstd", asbytes=True)
+
+
+def unsqueezed(body: bytes) -> bytes:
+    return pa.decompress(body[4:], struct.unpack_from("<I", body)[0], "zstd", asbytes=True)
+
+
+def _squeezed(rows: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            small = pa.array([squeezed(x.as_py()) for x in batch.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], small], ["id", "digest", "n", "tokens"])
+
+    return rows.mapInArrow(run, "id long, digest long, n long, tokens binary")
+
+
+def _numbered(rows: DataFrame, work: Work) -> tuple[DataFrame, int]:
+    """``row``, ``first`` (number of the row's first sequence) and the number of sequences; texts take no part.
+
+    Groups of equal rows are ordered by id and digest inside cells, cells by number; equal rows take their
+    numbers in the order they were written, which shows in no result.
+    """
+    group = F.pmod(F.xxhash64("id", "digest"), F.lit(CELLS)).cast("int").alias("cell")
+    groups = work.keep(rows.groupBy("id", "digest", "n").agg(F.count("*").alias("copies")).select("*", group))
+    sums = sorted((r["cell"], r["n"]) for r in groups.groupBy("cell").agg(F.sum(F.col("n") * F.col("copies")).alias("n")).collect())  # CELLS rows at most
+    before, starts = 0, []
+    for c, m in sums:
+        starts.append((c, before))
+        before += m
+    offsets = rows_like(work.spark, "cell int, _before bigint", starts)
+    earlier = W.partitionBy("cell").orderBy("id", "digest").rowsBetween(W.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum(F.col("n") * F.col("copies")).over(earlier), F.lit(0).cast("long"))
+    firsts = groups.withColumn("_inside", inside).join(F.broadcast(offsets), "cell").select(
+        "id", "digest", "copies", (F.col("_before") + F.col("_inside")).alias("first"))
+    r, f = rows.alias("r"), firsts.alias("f")
+    same = F.col("r.id").eqNullSafe(F.col("f.id")) & (F.col("r.digest") == F.col("f.digest"))
+    joined = r.join(f, same).select("r.row", "r.id", "r.digest", "r.n", "f.copies", "f.first")
+    done = joined.where("copies = 1").select("row", "first")
+    if not groups.where("copies > 1").isEmpty():
+        equal = number_within(joined.where("copies > 1"), ["id", "digest"], ["row"], "_nth")
+        done = done.unionByName(equal.select("row", (F.col("first") + (F.col("_nth") - 1) * F.col("n")).alias("first")))
+    return work.keep(done), before
+
+
 def read_slots(shards: DataFrame, width: int = 1, from_slot: int = 0) -> DataFrame:
     """The sequences of written shards: slot, shard, offset, doc_id, sequence, n_tokens, crc32, tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, first, n, stride, payload in zip(*(batch.column(c).to_pylist() for c in range(4)), batch.column(4), strict=True):
-                view = memoryview(payload.as_buffer())
-                skip = max(0, from_slot - first)
-                rows = []
-                for i in range(skip, n):
-                    at = i * stride
-                    doc, k, size = struct.unpack_from("<qII", view, at)
-                    body = bytes(view[at + HEADER : at + HEADER + size * width])
-                    rows.append((first + i, shard, at, None if doc == NO_ID else doc, k, size, zlib.crc32(body), body))
-                for lo in range(0, len(rows), 1024):
-                    cols = list(zip(*rows[lo : lo + 1024], strict=True))
-                    yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7], pa.binary())],
-                        ["slot", "shard", "offset", "doc_id", "sequence", "n_tokens", "crc32", "tokens"],
-                    )
-
-    some = shards.where(F.col("first_slot") + F.col("n") > from_slot).select("shard", "first_slot", "n", "stride", "payload")
-    return some.mapInArrow(run, "slot long, shard long, offset long, doc_id long, sequence long, n_tokens long, crc32 long, tokens binary")
+            rows = []
+            for slot, shard, at, record in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                doc, k, size = struct.unpack_from("<qII", record)
+                body = record[HEADER : HEADER + size * width]
+                rows.append((slot, shard, at, None if doc == NO_ID else doc, k, size, zlib.crc32(body), body))
+            for lo in range(0, len(rows), 1024):
+                cols = list(zip(*rows[lo : lo + 1024], strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7], pa.binary())],
+                    ["slot", "shard", "offset", "doc_id", "sequence", "n_tokens", "crc32", "tokens"],
+                )
+
+    skip = F.greatest(F.lit(0).cast("long"), from_slot - F.col("first_slot"))
+    some = shards.where(F.col("first_slot") + F.col("n") > from_slot).select(
+        "shard", "first_slot", "stride", "payload", F.explode(F.sequence(skip, F.col("n") - 1)).alias("i"))
+    # a record at a time leaves the shard, so that no task sends whole shards to its worker
+    records = some.select(
+        (F.col("first_slot") + F.col("i")).alias("slot"), "shard", (F.col("i") * F.col("stride")).alias("offset"),
+        F.substring("payload", (F.col("i") * F.col("stride") + 1).cast("int"), F.col("stride").cast("int")).alias("record"))
+    return records.mapInArrow(run, "slot long, shard long, offset long, doc_id long, sequence long, n_tokens long, crc32 long, tokens binary")

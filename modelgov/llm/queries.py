@@ -77,10 +77,9 @@ def op9_ngram_rtree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token ids of op2's vocabulary, two bytes each; encoded once, because the shards read them twice."""
-    work = Work(spark, "training-order")
-    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
-    shards, _ = feistel_shards.write_shards(work.keep(feistel_shards.packed_ids(ids)), f"{work.root}/shards", width=2)
+    """Token ids of op2's vocabulary, two bytes each."""
+    ids = byte_bpe.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    shards, _ = feistel_shards.write_shards(ids, f"{Work(spark, 'training-order').root}/shards", width=2)
     return feistel_shards.read_slots(shards, width=2).drop("tokens")
 
 

@@ -429,7 +429,7 @@ def test_query_writes_token_ids(spark):
 
 def test_shards_of_token_ids(documents, tmp_path):
     docs = documents([(1, "some words to encode " * 50), (2, "")])
-    packed = feistel_shards.packed_ids(byte_bpe.encode(docs, PATH))
+    packed = byte_bpe.packed(docs, PATH)
     shards, _ = feistel_shards.write_shards(packed, str(tmp_path / "s"), width=2, length=64, per_shard=2)
     rows = sorted(feistel_shards.read_slots(shards, width=2).collect(), key=lambda r: (r.doc_id, r.sequence))
     ids = np.concatenate([np.frombuffer(r.tokens, np.uint16) for r in rows if r.doc_id == 1])

@@ -34,6 +34,8 @@ from .tokens import mix
 from .work import Work, rows_like
 
 CELLS = 4096
+#: rows of one written task, in order, whose numbers travel together
+CHUNK_BITS = 14
 ROUNDS = 6
 HEADER = 16
 NO_ID = -(2**63)
@@ -66,10 +68,17 @@ def write_shards(
     size = length * width
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col("tokens") if tokens is None else tokens, F.lit(b"")).alias("tokens"))
     n = F.greatest(F.lit(1), F.ceil(F.octet_length("tokens") / size)).cast("long").alias("n")
-    small = _squeezed(rows.select("id", F.xxhash64("tokens").alias("digest"), n, "tokens"))
-    held = work.keep(small.withColumn("row", F.monotonically_increasing_id()))
+    row = F.monotonically_increasing_id()
+    rows = rows.select("id", F.xxhash64("tokens").alias("digest"), n, "tokens").withColumn("row", row)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = work.keep_bucketed(rows.withColumn("chunk", F.shiftright("row", CHUNK_BITS)), "chunk", buckets)
     firsts, total = _numbered(held.select("row", "id", "digest", "n"), work)
-    numbered = held.select("row", "id", "tokens").join(firsts, "row").select("id", "first", "tokens")
+    # numbers travel to the buckets of the payloads, a chunk of rows at a time; payloads stay
+    place = F.col("row").bitwiseAND(F.lit((1 << CHUNK_BITS) - 1)).cast("int")
+    chunks = firsts.groupBy(F.shiftright("row", CHUNK_BITS).alias("chunk")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("row", "first"))), lambda x: x["first"]).alias("firsts"))
+    numbered = held.select("chunk", "row", "id", "tokens").join(chunks.hint("shuffle_hash"), "chunk").select(
+        "id", F.get("firsts", place).alias("first"), "tokens")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,7 +90,7 @@ def write_shards(
                 return pa.RecordBatch.from_arrays([pa.array(at), pa.array(at // per_shard), pa.array(records, pa.binary())], ["slot", "shard", "record"])
 
             for doc, first, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                whole = unsqueezed(cell.as_py())
+                whole = cell.as_py()
                 for k in range(max(1, -(-len(whole) // size))):
                     part = whole[k * size : (k + 1) * size]
                     slots.append(first + k)
@@ -126,22 +135,13 @@ def write_shards(
 
 def squeezed(body: bytes) -> bytes:
     """Compressed for the way through a shuffle, in front its length."""
-    return struct.pack("<I", len(body)) + pa.compress(body, "zstd", asbytes=True)
+    return struct.pack("<I", len(body)) + pa.Codec("zstd", compression_level=3).compress(body, asbytes=True)
 
 
 def unsqueezed(body: bytes) -> bytes:
     return pa.decompress(body[4:], struct.unpack_from("<I", body)[0], "zstd", asbytes=True)
 
 
-def _squeezed(rows: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            small = pa.array([squeezed(x.as_py()) for x in batch.column(3)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], small], ["id", "digest", "n", "tokens"])
-
-    return rows.mapInArrow(run, "id long, digest long, n long, tokens binary")
-
-
 def _numbered(rows: DataFrame, work: Work) -> tuple[DataFrame, int]:
     """``row``, ``first`` (number of the row's first sequence) and the number of sequences; texts take no part.
 

@@ -136,13 +136,35 @@ def protect_structure(
 ) -> DataFrame:
     """Links, then formulas, then sibling levels, each once and in that order.
 
-    Every step reads the decisions twice, so they are written out between steps.
+    The steps exchange keys only: each adds the keys it saves to those kept before.  Full rows are
+    written once and get their reasons in one join at the end.
     """
-    out = decisions
-    for relation, step in ((links, protect_links), (owner_refs, protect_dax), (levels, protect_siblings)):
-        if relation is not None:
-            out = step(materialise(out), relation)
-    return out
+    key = ["model_id", "key_norm"]
+    rows = materialise(decisions)
+    keys = rows.select(*key, "kind", "remove_column")
+    kept = keys.filter(F.col("remove_column") == "No").drop("remove_column")
+    removed = keys.filter(F.col("remove_column") == "Yes").drop("remove_column").distinct()
+    marks = None
+    for relation, reason, targets in (
+        (links, "SemanticLink", lambda found, alive: link_targets(found, alive)),
+        (owner_refs, "DAXReference", lambda found, alive: formula_targets(found, alive.filter(F.col("kind").isin("calculated", "measure")))),
+        (levels, "HierarchyLevel", lambda found, alive: sibling_targets(found, alive)),
+    ):
+        if relation is None:
+            continue
+        saved = materialise(removed.join(targets(relation, kept), key, "left_semi"))
+        removed, kept = removed.join(saved, key, "left_anti"), kept.unionByName(saved)
+        found = saved.select(*key, F.lit(reason).alias("_reason")).distinct()
+        marks = found if marks is None else marks.unionByName(found)
+    if marks is None:
+        return rows
+    hit = F.col("_reason").isNotNull() & (F.col("remove_column") == "Yes")
+    return (
+        rows.join(marks, key, "left")
+        .withColumn("protected", F.when(hit, F.col("_reason")).otherwise(F.col("protected")))
+        .withColumn("remove_column", F.when(hit, "No").otherwise(F.col("remove_column")))
+        .drop("_reason")
+    )
 
 
 def dependency_edges(

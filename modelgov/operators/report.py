@@ -121,14 +121,19 @@ def page_visuals(pages: DataFrame, visuals: DataFrame) -> DataFrame:
 
 
 def visual_labels(visuals: DataFrame) -> DataFrame:
-    """Data visuals with a label: the title, else the type name numbered per page and type."""
-    data = visuals.filter(~F.col("visual_type").isin(DECORATIVE_TYPES)).withColumn("_titled", F.col("title") != "")
-    numbered = number_within(
-        data, ["model_id", "report_id", "page_id", "visual_type", "_titled"], ["visual_id"], "_n"
-    )
+    """Data visuals with a label: the title, else the type name numbered per page and type.
+
+    Only the keys of untitled visuals are numbered; the documents stay where they are until the numbers are joined.
+    """
+    page, key = ["model_id", "report_id", "page_id"], ["model_id", "report_id", "page_id", "visual_id"]
+    data = visuals.filter(~F.col("visual_type").isin(DECORATIVE_TYPES))
+    keys = data.filter("title = ''").select(*key, "visual_type").distinct()
+    numbers = number_within(keys, [*page, "visual_type"], ["visual_id"], "_n").select(*key, "visual_type", "_n")
+    same = [F.col(f"v.{c}").eqNullSafe(F.col(f"n.{c}")) for c in [*key, "visual_type"]]
+    numbered = data.alias("v").join(numbers.alias("n"), same, "left").select("v.*", "n._n")
     name = visual_type_name(F.col("visual_type"))
     counted = F.when(F.col("_n") == 1, name).otherwise(F.concat(name, F.lit(" ("), F.col("_n").cast("string"), F.lit(")")))
-    return numbered.withColumn("visual_label", F.when(F.col("_titled"), F.col("title")).otherwise(counted)).drop("_n", "_titled")
+    return numbered.withColumn("visual_label", F.when(F.col("title") != "", F.col("title")).otherwise(counted)).drop("_n")
 
 
 def visual_fields(labelled: DataFrame) -> DataFrame:
@@ -260,10 +265,11 @@ def field_usage(parts: list[DataFrame]) -> DataFrame:
 
 
 def grouped_dependencies(closure: DataFrame) -> DataFrame:
-    """Presentation: dependencies of a measure per table, one row each with its position by name."""
-    from .rank import listed
-
-    return listed(closure, ["model_id", "table_name", "measure", "dep_table"], "dep_column")
+    """Presentation: dependencies of a measure per table, one row each with its position: the measure itself, then by name."""
+    group = ["model_id", "table_name", "measure", "dep_table"]
+    other = (F.col("dep_table") != F.col("table_name")) | (F.col("dep_column") != F.col("measure"))
+    rows = closure.select(*group, "dep_column", other.alias("_other")).distinct()
+    return number_within(rows, group, ["_other", "dep_column"], "position").drop("_other")
 
 
 def usage_summary(usage: DataFrame) -> DataFrame:

@@ -18,6 +18,11 @@ def _names_column(usage: DataFrame) -> str:
     return "column_name" if "column_name" in usage.columns else "column_names"
 
 
+def kept_uses(usage: DataFrame) -> DataFrame:
+    """Uses whose reference stands; those ``validate_refs`` dropped are left out."""
+    return usage.filter(F.col("status") != "dropped")
+
+
 def distinct_uses(usage: DataFrame) -> DataFrame:
     """Equal usage rows as one row with a count (``n_uses``).
 

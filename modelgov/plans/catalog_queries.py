@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog, graph
 from ..operators import textparse as tp
+from ..session import materialise
 from .registry import query
 from .text_queries import K
 
@@ -146,7 +147,7 @@ def formulas(ctx):
 
 
 def closure(ctx):
-    f = formulas(ctx)
+    f = materialise(formulas(ctx))
     return graph.measure_closure(f, tp.measure_refs(f))
 
 

@@ -19,7 +19,7 @@ CLEAN = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 EXPLODED = f"""
     WITH parts AS (
         SELECT model_id, table_name, ui_field, usage_label, nullif(trim(formula), '') IS NOT NULL AS has_formula,
-            {CLEAN.format('unnest(string_split(column_names, chr(44)))')} AS column_name FROM lens_usage)
+            {CLEAN.format('unnest(string_split(column_names, chr(44)))')} AS column_name FROM lens_usage WHERE status <> 'dropped')
     SELECT model_id, table_name, column_name, usage_label, has_formula FROM parts WHERE column_name <> ''
     UNION ALL SELECT model_id, table_name, ui_field, usage_label, has_formula FROM parts WHERE column_name <> '' AND has_formula"""
 CLASSIFIED = f"""
@@ -34,18 +34,21 @@ COUNTS = f"""
           FROM ({CLASSIFIED}) c GROUP BY model_id, table_name, column_name) s"""
 
 
+def uses(ctx):
+    return usage.kept_uses(ctx.lens("lens_usage"))
+
+
 def classified(ctx):
-    return usage.usage_classify(usage.usage_explode(ctx.lens("lens_usage")))
+    return usage.usage_classify(usage.usage_explode(uses(ctx)))
 
 
 def counts(ctx):
-    uses = usage.distinct_uses(ctx.lens("lens_usage"))
-    return usage.field_usage_counts(usage.usage_classify(usage.usage_explode(uses)))
+    return usage.field_usage_counts(usage.usage_classify(usage.usage_explode(usage.distinct_uses(uses(ctx)))))
 
 
 @query("usage_explode", EXPLODED)
 def _explode(ctx):
-    return usage.usage_explode(ctx.lens("lens_usage"))
+    return usage.usage_explode(uses(ctx))
 
 
 @query("usage_classify", CLASSIFIED)
@@ -144,31 +147,29 @@ LIST_CTES = f"""{BASE_CTES},
     security AS (SELECT DISTINCT model_id, lower(trim(table_name)) AS table_norm FROM lens_security
                  UNION SELECT model_id, lower(table_name) FROM lens_detected),
     views AS (SELECT DISTINCT model_id, lower(table_name || '$$' || trim(column_name)) AS key_norm FROM lens_views WHERE table_name IS NOT NULL),
-    listed AS (SELECT b.* EXCLUDE (remove_column), CASE WHEN hit THEN 'No' ELSE remove_column END AS remove_column, CASE WHEN hit THEN 'Yes' ELSE 'No' END AS protected
-        FROM (SELECT *, EXISTS (SELECT 1 FROM security s WHERE s.model_id = b.model_id AND s.table_norm = lower(b.table_name))
-                     OR EXISTS (SELECT 1 FROM views v WHERE v.model_id = b.model_id AND v.key_norm = b.key_norm) AS hit FROM base b) b)"""
+    listed AS MATERIALIZED (SELECT b.* EXCLUDE (remove_column), CASE WHEN hit THEN 'No' ELSE remove_column END AS remove_column, CASE WHEN hit THEN 'Yes' ELSE 'No' END AS protected
+        FROM (SELECT b.*, s.table_norm IS NOT NULL OR v.key_norm IS NOT NULL AS hit FROM base b
+              LEFT JOIN security s ON s.model_id = b.model_id AND s.table_norm = lower(b.table_name)
+              LEFT JOIN views v ON v.model_id = b.model_id AND v.key_norm = b.key_norm) b)"""
 
 
 def target_step(name: str, before: str, targets: str, reason: str) -> str:
     """Protect the keys of ``targets`` among the removals of ``before``."""
     return f"""
-    {name}_t AS ({targets}),
-    {name} AS (SELECT d.* EXCLUDE (remove_column, protected),
+    {name}_t AS MATERIALIZED (SELECT DISTINCT model_id, key_norm FROM ({targets}) x),
+    {name} AS MATERIALIZED (SELECT d.* EXCLUDE (remove_column, protected),
         CASE WHEN remove_column = 'Yes' AND t.key_norm IS NOT NULL THEN 'No' ELSE remove_column END AS remove_column,
         CASE WHEN remove_column = 'Yes' AND t.key_norm IS NOT NULL THEN '{reason}' ELSE protected END AS protected
-        FROM {before} d LEFT JOIN (SELECT DISTINCT model_id, key_norm FROM {name}_t) t ON t.model_id = d.model_id AND t.key_norm = d.key_norm)"""
+        FROM {before} d LEFT JOIN {name}_t t ON t.model_id = d.model_id AND t.key_norm = d.key_norm)"""
 
 
 def key(table: str, column: str) -> str:
     return f"lower({table} || '$$' || {column})"
 
 
-def kept(alias: str, where: str, source: str) -> str:
-    return f"EXISTS (SELECT 1 FROM {source} k WHERE k.model_id = {alias}.model_id AND k.key_norm = {where} AND k.remove_column = 'No')"
-
-
 LINKS = target_step("linked", "listed", f"""
-    SELECT model_id, {key('target_table', 'target_column')} AS key_norm FROM lens_links l WHERE {kept('l', key('l.table_name', 'l.column_name'), 'listed')}""", "SemanticLink")
+    SELECT l.model_id, {key('l.target_table', 'l.target_column')} AS key_norm FROM lens_links l
+    JOIN listed k ON k.model_id = l.model_id AND k.key_norm = {key('l.table_name', 'l.column_name')} AND k.remove_column = 'No'""", "SemanticLink")
 
 
 def dax_targets(source: str) -> str:
@@ -180,8 +181,9 @@ def dax_targets(source: str) -> str:
 def sibling_targets(source: str) -> str:
     return f"""
     SELECT a.model_id, {key('a.table_name', 'a.column_name')} AS key_norm FROM lens_levels a
-    WHERE EXISTS (SELECT 1 FROM lens_levels b JOIN {source} k ON k.model_id = b.model_id AND k.key_norm = {key('b.table_name', 'b.column_name')} AND k.remove_column = 'No'
-                  WHERE b.model_id = a.model_id AND b.table_name = a.table_name AND b.hierarchy = a.hierarchy)"""
+    JOIN (SELECT DISTINCT b.model_id, b.table_name, b.hierarchy FROM lens_levels b
+          JOIN {source} k ON k.model_id = b.model_id AND k.key_norm = {key('b.table_name', 'b.column_name')} AND k.remove_column = 'No') h
+    ON h.model_id = a.model_id AND h.table_name = a.table_name AND h.hierarchy = a.hierarchy"""
 
 
 DAX = target_step("formulas", "linked", dax_targets("linked"), "DAXReference")
@@ -537,11 +539,6 @@ def _summary(ctx):
 
 
 @query("implicit_value_columns", """
-    SELECT DISTINCT model_id, table_name FROM lens_columns WHERE source_column LIKE 'src_%'""")
+    SELECT DISTINCT model_id, table_name FROM lens_value_columns WHERE trim(column_name) = 'Value' AND trim(source_column) = '[Value]'""")
 def _implicit(ctx):
-    # Imported columns stand in for the generated ones.
-    generated = ctx.lens("lens_columns").withColumns({
-        "column_name": F.when(F.col("source_column").startswith("src_"), " Value").otherwise(F.col("column_name")),
-        "source_column": F.when(F.col("source_column").startswith("src_"), "[Value]").otherwise(F.col("source_column")),
-    })
-    return cleanup.implicit_value_columns(generated)
+    return cleanup.implicit_value_columns(ctx.lens("lens_value_columns"))

@@ -9,9 +9,11 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from ..file_sink import write_named_files
 from ..operators import layout, render, tom
 from ..operators import textparse as tp
-from ..sources.containers import decode_layouts
+from ..session import scratch
+from ..sources.containers import report_layouts, scan_layouts
 from .registry import query
 from .text_queries import K
 
@@ -39,10 +41,13 @@ def packer():
 
 @query("layout_scan", "SELECT 'r' || CAST(report_id AS VARCHAR) AS path, layout_json FROM lens_layouts")
 def _scan(ctx):
+    """Containers are written as files once; the scan opens them and reads the layout entry only."""
+    root = scratch(ctx.spark, "containers")
     packed = ctx.lens("lens_layouts").select(
-        F.concat(F.lit("r"), F.col("report_id").cast("string")).alias("path"), packer()("layout_json").alias("content")
+        F.concat(F.lit("r"), F.col("report_id").cast("string"), F.lit(".pbix")).alias("file"), packer()("layout_json").alias("content")
     )
-    return decode_layouts(packed)
+    write_named_files(packed, root, [])
+    return report_layouts(scan_layouts(ctx.spark, root)).select(F.replace("report_id", F.lit(".pbix")).alias("path"), "layout_json")
 
 
 def docs(ctx):

@@ -225,6 +225,11 @@ LENSES: dict[str, str] = {
                     ELSE 'src_' || CAST(min(p_partkey) AS STRING) END AS source_column
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
         GROUP BY o_custkey, o_orderkey, o_orderpriority, p_name""",
+    # measure-only tables get a generated column; an imported column of that name is another matter
+    "lens_value_columns": f"""
+        SELECT model_id, table_name, column_name, source_column FROM lens_columns
+        UNION ALL SELECT o_custkey, {TABLE_NAME}, CASE WHEN o_orderstatus = 'P' THEN 'Value' ELSE ' Value ' END,
+            CASE WHEN o_orderstatus = 'F' THEN 'Value' ELSE '[Value]' END FROM orders""",
     "lens_hub_ids": "SELECT o_custkey AS model_id, min(o_orderkey) AS hub_id FROM orders GROUP BY o_custkey",
     "lens_hubs": """
         SELECT t.model_id, t.table_id AS hub_id, t.table_name AS hub_name
@@ -266,9 +271,10 @@ LENSES: dict[str, str] = {
                CASE l_returnflag WHEN 'R' THEN 'Slicer'
                     WHEN 'A' THEN CASE WHEN p_type = 'PROMO' THEN 'Visual Value, Filter (Measure)' ELSE 'Visual Value' END
                     ELSE 'Page Filter' END AS usage_label,
-               CASE WHEN p_type = 'PROMO' THEN 'SUM([x])' WHEN p_type = 'SMALL' THEN ' ' END AS formula
+               CASE WHEN p_type = 'PROMO' THEN 'SUM([x])' WHEN p_type = 'SMALL' THEN ' ' END AS formula,
+               CASE WHEN l_linestatus = 'O' THEN 'valid' ELSE 'dropped' END AS status
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
-        JOIN lens_hubs h ON h.model_id = o_custkey WHERE l_linestatus = 'O'""",
+        JOIN lens_hubs h ON h.model_id = o_custkey""",
     # --- protections and structure ---
     "lens_security": f"SELECT o_custkey AS model_id, ' ' || upper({TABLE_NAME}) AS table_name FROM orders WHERE o_totalprice > 450000",
     "lens_detected": f"SELECT o_custkey AS model_id, {TABLE_NAME} AS table_name FROM orders WHERE o_totalprice > 480000 OR o_totalprice < 5000",
@@ -338,12 +344,13 @@ LENSES: dict[str, str] = {
         SELECT o_custkey AS model_id, l_orderkey * 10 + l_linenumber AS ID, l_orderkey AS TableID, 'M' || CAST(l_linenumber AS STRING) || ' ' || CAST(l_orderkey AS STRING) AS Name,
                CASE WHEN l_linenumber = 7 THEN 'VAR x = 1' || chr(10) || 'RETURN x' ELSE 'SUM([' || CAST(min(l_partkey) AS STRING) || '])' END AS Expression,
                CASE WHEN l_linenumber = 6 THEN '0.00' END AS FormatString
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY o_custkey, l_orderkey, l_linenumber""",
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_orderkey, l_linenumber""",
     "lens_tom_hierarchies": "SELECT o_custkey AS model_id, o_orderkey AS ID, o_orderkey AS TableID, 'Levels ' || o_orderstatus AS Name, 'ht' AS LineageTag FROM orders",
+    # levels of closed lines belong to a hierarchy that was not exported
     "lens_tom_levels": """
-        SELECT o_custkey AS model_id, l_orderkey AS HierarchyID, l_linenumber AS Ordinal, 'Level ' || CAST(l_linenumber AS STRING) AS Name,
+        SELECT o_custkey AS model_id, CASE WHEN l_linestatus = 'O' THEN l_orderkey ELSE -1 - l_orderkey END AS HierarchyID, l_linenumber AS Ordinal, 'Level ' || CAST(l_linenumber AS STRING) AS Name,
                l_orderkey * 10 + l_linenumber AS ColumnID
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus = 'O' GROUP BY o_custkey, l_orderkey, l_linenumber""",
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_orderkey, l_linenumber, l_linestatus""",
     "lens_tom_relationships": """
         SELECT model_id, from_id AS ID, CASE WHEN is_active THEN 'rel' || CAST(from_id AS STRING) END AS Name, from_id AS FromTableID, from_id * 10 + 1 AS FromColumnID,
                to_id AS ToTableID, to_id * 10 + 4 AS ToColumnID, CASE WHEN is_active THEN 1 ELSE 0 END AS IsActive,

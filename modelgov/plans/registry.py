@@ -67,4 +67,4 @@ def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import catalog_queries, data_queries, decision_queries, legacy_queries, report_queries, text_queries  # noqa: F401
+    from . import catalog_queries, data_queries, decision_queries, file_queries, legacy_queries, report_queries, text_queries  # noqa: F401

@@ -138,7 +138,7 @@ def _measure_usage(ctx):
 
 @query("measure_dependencies", f"""
     SELECT model_id, table_name, measure, dep_table, dep_column,
-        row_number() OVER (PARTITION BY model_id, table_name, measure, dep_table ORDER BY dep_column) AS position
+        row_number() OVER (PARTITION BY model_id, table_name, measure, dep_table ORDER BY dep_table <> table_name OR dep_column <> measure, dep_column) AS position
     FROM (SELECT DISTINCT model_id, table_name, measure, dep_table, dep_column FROM ({cq.CLOSURE}) c) d""")
 def _dependencies(ctx):
     return rp.grouped_dependencies(cq.closure(ctx))

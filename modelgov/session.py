@@ -39,12 +39,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder every executor can reach")
         shared = os.path.join(tempfile.gettempdir(), f"modelgov-checkpoints-{sc.applicationId}")
-    elif not sc.master.startswith("local") and "://" not in shared:
-        raise RuntimeError(f"{CHECKPOINT_KEY} must be a URL on a cluster: {shared!r} may be another folder on every machine")
+    elif not sc.master.startswith("local") and (":/" not in shared or shared.startswith("file:")):
+        raise RuntimeError(f"{CHECKPOINT_KEY} must be a URL of shared storage on a cluster: {shared!r} may be another folder on every machine")
     sc.setCheckpointDir(shared)
     return shared
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder, for files of one run."""
+    return f"{ensure_checkpoint_dir(spark)}/modelgov-{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and return a scan of the written table.
 

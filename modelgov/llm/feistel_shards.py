@@ -170,22 +170,28 @@ def _numbered(rows: DataFrame, work: Work) -> tuple[DataFrame, int]:
     return work.keep(done), before
 
 
-def read_slots(shards: DataFrame, width: int = 1, from_slot: int = 0) -> DataFrame:
-    """The sequences of written shards: slot, shard, offset, doc_id, sequence, n_tokens, crc32, tokens."""
+def read_slots(shards: DataFrame, width: int = 1, from_slot: int = 0, tokens: bool = True) -> DataFrame:
+    """The sequences of written shards: slot, shard, offset, doc_id, sequence, n_tokens, crc32 and, if asked for, tokens."""
+    names = ["slot", "shard", "offset", "doc_id", "sequence", "n_tokens", "crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for slot, shard, at, record in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                doc, k, size = struct.unpack_from("<qII", record)
-                body = record[HEADER : HEADER + size * width]
-                rows.append((slot, shard, at, None if doc == NO_ID else doc, k, size, zlib.crc32(body), body))
-            for lo in range(0, len(rows), 1024):
-                cols = list(zip(*rows[lo : lo + 1024], strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7], pa.binary())],
-                    ["slot", "shard", "offset", "doc_id", "sequence", "n_tokens", "crc32", "tokens"],
-                )
+            for lo in range(0, len(batch), 1024):
+                part = batch.slice(lo, 1024)
+                heads, sums, bodies = [], [], []
+                for record in part.column(3):
+                    view = memoryview(record.as_buffer())
+                    head = struct.unpack_from("<qII", view)
+                    body = view[HEADER : HEADER + head[2] * width]
+                    heads.append(head)
+                    sums.append(zlib.crc32(body))
+                    if tokens:
+                        bodies.append(bytes(body))
+                docs = [None if h[0] == NO_ID else h[0] for h in heads]
+                columns = [*part.columns[:3], *(pa.array(c, pa.int64()) for c in (docs, [h[1] for h in heads], [h[2] for h in heads], sums))]
+                if tokens:
+                    columns.append(pa.array(bodies, pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names + ["tokens"] * tokens)
 
     skip = F.greatest(F.lit(0).cast("long"), from_slot - F.col("first_slot"))
     some = shards.where(F.col("first_slot") + F.col("n") > from_slot).select(
@@ -194,4 +200,4 @@ def read_slots(shards: DataFrame, width: int = 1, from_slot: int = 0) -> DataFra
     records = some.select(
         (F.col("first_slot") + F.col("i")).alias("slot"), "shard", (F.col("i") * F.col("stride")).alias("offset"),
         F.substring("payload", (F.col("i") * F.col("stride") + 1).cast("int"), F.col("stride").cast("int")).alias("record"))
-    return records.mapInArrow(run, "slot long, shard long, offset long, doc_id long, sequence long, n_tokens long, crc32 long, tokens binary")
+    return records.mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", tokens binary" * tokens)

@@ -80,7 +80,7 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of op2's vocabulary, two bytes each."""
     ids = byte_bpe.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
     shards, _ = feistel_shards.write_shards(ids, f"{Work(spark, 'training-order').root}/shards", width=2)
-    return feistel_shards.read_slots(shards, width=2).drop("tokens")
+    return feistel_shards.read_slots(shards, width=2, tokens=False)
 
 
 def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:

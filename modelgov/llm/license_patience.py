@@ -1,16 +1,18 @@
 """License scans by patience alignment of texts with license notices.
 
-Method.  A find is a stretch of a text that holds enough of a notice's words in their order.  Finds
-are located exactly, by the length of the longest common subsequence kept in the bits of one number:
-the stretch of at most ``SPAN`` notice lengths that ends first, from its latest start, then the next
-one behind it, so that words before, inside or behind a notice cut nothing and repeated notices are
-separate finds.  What lies between is searched once more for notices spread wider, in the longest
-stretches where no telling word comes more often than the notice has it nor a notice length after the
-one before.  A find takes in what else of its notice stands up to a notice length to either side.
-Then it is aligned with the notice: words that occur once in both are anchors, the longest increasing
-subsequence of anchors is kept, and the gaps between them are aligned in the same way; if repeated
-words hide pairs from that, all equal words are taken as anchors.  Coverage is the share of the
-notice's words that the alignment finds.
+Method.  A find is a stretch of a text whose patience alignment with a notice covers enough of the
+notice's words: words that occur once in both are anchors, the longest increasing subsequence of anchors
+is kept, and the gaps between them are aligned in the same way; a gap without such words is aligned by all its
+equal words.  Coverage, start and end are those of the alignment, and it alone decides.
+
+The stretches to align come from an exact search: no alignment is longer than the longest common
+subsequence, whose length is kept in the bits of one number.  A candidate is the stretch of at most ``SPAN`` notice lengths
+that ends first, from its latest start, then the next one behind it, so that words before, inside or
+behind a notice cut nothing and repeated notices are separate finds.  What lies between is searched
+once more for notices spread wider, in the longest stretches where no telling word comes more often
+than the notice has it nor a notice length after the one before.  A candidate takes in what else of its
+notice stands up to a notice length to either side.  Where words change places so that anchors cross, the alignment
+can fall short of the subsequence by the words moved; such a stretch is no find if that takes it below the threshold.
 
 Most texts are told apart before any alignment by an exact bound: a notice can only reach the
 threshold if enough of its word positions hold words that occur in the text at all.
@@ -99,6 +101,11 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         anchors = [(i, place[w]) for i, w in enumerate(a[alo:ahi], alo) if times_a[w] == 1 and w in place]
         chain = _rising(anchors)
         if not chain:
+            # nothing occurs once in both: the gap's repeated words are aligned as they stand
+            places: dict[str, list[int]] = {}
+            for j in range(bhi - 1, blo - 1, -1):
+                places.setdefault(b[j], []).append(j)
+            out += _rising([(i, j) for i in range(alo, ahi) for j in places.get(a[i], ())])
             continue
         out += chain
         edges = [(alo - 1, blo - 1), *chain, (ahi, bhi)]
@@ -276,11 +283,10 @@ def scan(text: str, notices: list[Notice], least: float = THRESHOLD) -> list[tup
     words, spans = words_of(text)
     out = []
     for notice in able:
-        for got, lo, hi in notice.finds(words, least):
-            own = words[lo:hi]
-            pairs = align(own, notice.words)
-            if len(pairs) < got:
-                pairs = _rising([(i, j) for i, w in enumerate(own) for j in range(len(notice.words) - 1, -1, -1) if notice.words[j] == w])
+        for _, lo, hi in notice.finds(words, least):
+            pairs = align(words[lo:hi], notice.words)
+            if len(pairs) < least * len(notice.words):
+                continue
             out.append((
                 notice.license, notice.form, len(pairs) / len(notice.words), spans[lo + pairs[0][0]][0], spans[lo + pairs[-1][0]][1]
             ))

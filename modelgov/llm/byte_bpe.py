@@ -24,6 +24,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -40,14 +41,18 @@ OTHER, LETTER, NUMBER, SPACE, EDGE = range(5)
 
 
 def char_classes() -> np.ndarray:
-    """Class of every code point: letter, number, white space, other."""
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    text = "".join(map(chr, points))
+    """Class of every code point: letter, number, white space, other.
+
+    The tokenizer library has Unicode tables of its own, older than those of Python's.  Which code points are in a
+    class is therefore read from the library: with single bytes as its only tokens and the class as its
+    pattern, it gives back the members among all code points.
+    """
+    text = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
     of = np.zeros(0x110000, np.uint8)
-    points_at = np.asarray(points)
-    for kind, name in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
-        for m in regex.finditer(name, text):
-            of[points_at[m.start() : m.end()]] = kind
+    for kind, name in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        reader = tiktoken.Encoding(name, pat_str=name, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        members = bytes(reader.encode_ordinary(text)).decode()
+        of[np.frombuffer(members.encode("utf-32-le"), np.uint32)] = kind
     return of
 
 

@@ -12,24 +12,36 @@ from modelgov.llm.work import Work
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it learns from the labels of the documents it is given."""
+    """Documents that the classifier rejects go; it learns from the labels of the documents it is given.
+
+    Null and empty texts are scored like any other, equal rows alike; an empty table stays empty.  Rows travel whole
+    beside their score, so no column of theirs is touched, whatever its name.
+    """
     labels = table(spark, sf_dir, "labels")
     model = quality_rff.fit(docs, quality_rff.training_rows(labels, ~quality_rff.held_out()))
-    return quality_rff.score(docs, model, into="_score").where(F.col("_score") >= THRESHOLD).select(*docs.columns)
+    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.col("text").alias("text"))
+    return quality_rff.score(rows, model, into="score").where(F.col("score") >= THRESHOLD).select("row.*")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates, the document of the smallest id stays."""
+    """Of every group of near duplicates, the document of the smallest id stays.
+
+    Documents without words all stay, null texts included; of rows equal in id and text one stays; an empty table stays empty.
+    """
     return ngram_rtree_join.kept_documents(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources come to their target weights: a document stays as often as the mix takes it, up to three times."""
+    """Sources come to their target weights: a document stays as often as the mix takes it, up to three times.
+
+    Null sources are a source of their own; documents without words are taken as their place in the mix says; an empty
+    table stays empty; columns are unchanged.
+    """
     return hash_mixture.materialise_mix(docs)
 
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document left, checked by decoding them."""
+    """Token ids of every document left, checked by decoding them; null and empty texts have none; equal rows stay rows."""
     return byte_bpe.round_trip(docs, public_tokenizers.path(VOCABULARY))
 
 

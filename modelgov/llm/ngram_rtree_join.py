@@ -482,18 +482,21 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     best = done.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("best")).select("best.*")
     best = work.keep(best)
 
+    # the whole row travels as one column, so that names cannot clash
+    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"))
+    at = docs.columns.index("text")
+
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(shingle_sets(batch.column(batch.schema.get_field_index("text"))))
-            columns = [*batch.columns, pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_n", "_node"])
+            sets = list(shingle_sets(batch.column(0).field(at)))
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["_row", "_n", "_node"])
 
     from pyspark.sql import Window as W
     from pyspark.sql import types as T
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_n", T.LongType()), T.StructField("_node", T.LongType())])
-    keyed = docs.mapInArrow(nodes, schema)
+    keyed = rows.mapInArrow(nodes, T.StructType([*rows.schema.fields, T.StructField("_n", T.LongType()), T.StructField("_node", T.LongType())]))
     chosen = best.select(F.col("doc_id").alias("_doc"), F.col("node").alias("_best"))
-    worded = keyed.where("_n > 0").join(chosen, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_node") == F.col("_best")))
-    one = worded.withColumn("_row", F.row_number().over(W.partitionBy("_doc", "_best").orderBy("_n"))).where("_row = 1")
-    return one.select(*docs.columns).union(keyed.where("_n = 0").select(*docs.columns))
+    worded = keyed.where("_n > 0").join(chosen, F.col("_row.doc_id").eqNullSafe(F.col("_doc")) & (F.col("_node") == F.col("_best")))
+    one = worded.withColumn("_place", F.row_number().over(W.partitionBy("_doc", "_best").orderBy("_n"))).where("_place = 1")
+    return one.select("_row.*").union(keyed.where("_n = 0").select("_row.*"))

@@ -46,6 +46,12 @@ def test_encoding_equals_the_library(reference):
         assert byte_bpe.codec(PATH).decode(ids) == (text or "").encode()
 
 
+def test_every_code_point_is_split_as_the_library_does(reference):
+    texts = [chr(c) + "'s 1" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for text, ids, want in zip(texts, byte_bpe.codec(PATH).encode(texts), reference.encode_ordinary_batch(texts, num_threads=4), strict=True):
+        assert ids.tolist() == want, hex(ord(text[0]))
+
+
 def test_round_trip_rows(documents, reference):
     docs = documents(ODD).withColumn("ids", F.lit("clash"))
     got = byte_bpe.round_trip(docs, PATH).collect()
@@ -343,6 +349,26 @@ def test_words_around_a_notice_do_not_cut_it():
         assert found("x " * 500 + f"{text} {text}" + " y" * 500) == [(1.0, bare)] * 2
 
 
+def test_the_alignment_decides(monkeypatch):
+    """Without it nothing is found; what it covers is what a find reports, and never more than the subsequence."""
+    rng = random.Random(4)
+    for known in (license_patience.Notice(*n) for n in license_patience.NOTICES):
+        words = known.text.split()
+        for _ in range(30):
+            body = " ".join(rng.choice(["junk", *words]) if rng.random() < 0.12 else w for w in words)
+            finds = license_patience.scan(f"before {body} after", [known])
+            for _, _, coverage, start, end in finds:
+                own = license_patience.words_of(f"before {body} after"[start:end])[0]
+                pairs = license_patience.align(own, known.words)
+                assert coverage == len(pairs) / len(known.words) >= license_patience.THRESHOLD
+                assert all(own[i] == known.words[j] for i, j in pairs)
+                assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+                assert len(pairs) <= known.common(own, range(len(own)), len(known.words))[0]
+    monkeypatch.setattr(license_patience, "align", lambda a, b: [])
+    known = [license_patience.Notice(*n) for n in license_patience.NOTICES]
+    assert all(license_patience.scan(n.text, known) == [] for n in known)
+
+
 def test_finds_hold_what_windows_hold():
     """No stretch between the finds holds the need in a short window; finds do not overlap."""
     rng = random.Random(8)

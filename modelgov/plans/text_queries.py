@@ -60,6 +60,34 @@ def _comments(ctx):
     )
 
 
+def stream(measure: str, tokens: list[tuple[str, str]]) -> str:
+    """SQL: the given (kind, text as an expression) as rows of every source."""
+    listed = ", ".join(f"struct_pack(position := {i}, kind := '{k}', text := {t})" for i, (k, t) in enumerate(tokens))
+    return f"SELECT model_id, table_name, {measure} AS measure, unnest([{listed}], recursive := true) FROM lens_sources"
+
+
+def word(text: str, kind: str = "word") -> tuple[str, str]:
+    return kind, "'" + text.replace("'", "''") + "'"
+
+
+TOTAL_TOKENS = [
+    word("SUM"), word("(", "symbol"), ("quoted", "chr(39) || table_name || chr(39)"), word("[Price]", "bracketed"), word(")", "symbol"),
+    word("+", "symbol"), ("bracketed", f"'[Base ' || {K} || ']'"),
+]
+BASE_TOKENS = [
+    word("VAR"), word("x"), word("=", "symbol"), word("SUM"), word("(", "symbol"), word("Facts"), word("[Qty]", "bracketed"), word(")", "symbol"),
+    word("-- Old[Gone]", "comment"), word("RETURN"), word("[Price]", "bracketed"), word("+", "symbol"), word("x"),
+    word("/* Dead[Ref] */", "comment"), word("&", "symbol"), word('"[Text]"', "string"),
+]
+
+
+@query("token_stream", stream(f"'Total ' || {K}", TOTAL_TOKENS) + " UNION ALL " + stream(f"'Base ' || {K}", BASE_TOKENS))
+def _tokens(ctx):
+    return tp.measure_formulas(ctx.blocks).select(
+        "model_id", "table_name", "measure", F.posexplode(refs.tokens(F.col("formula"))).alias("position", "t")
+    ).select("model_id", "table_name", "measure", "position", "t.kind", "t.text")
+
+
 @query("dax_refs", f"""
     SELECT model_id, table_name, 'Total ' || {K} AS measure, table_name AS ref_table, 'Price' AS ref_column FROM lens_sources
     UNION ALL SELECT model_id, table_name, 'Total ' || {K}, NULL, 'Base ' || {K} FROM lens_sources

@@ -32,31 +32,82 @@ def test_normalize_key_matches_python(spark):
     check()
 
 
+def python_tokens(formula):
+    """(kind, text) from left to right, character by character; blanks are tokens of their own here."""
+    out, i = [], 0
+
+    def closed(mark, i):
+        """End of a name that begins at i, or None if it is not closed on its line; a doubled mark is part of it."""
+        j = i + 1
+        while j < len(formula) and formula[j] != "\n":
+            if formula[j] == mark:
+                if mark in "'\"" and formula[j + 1 : j + 2] == mark:
+                    j += 1
+                else:
+                    return j + 1
+            j += 1
+        return None
+
+    while i < len(formula):
+        ch, two = formula[i], formula[i : i + 2]
+        line = (formula + "\n").index("\n", i)
+        if two == "/*" and "*/" in formula[i + 2 :]:
+            kind, end = "comment", formula.index("*/", i + 2) + 2
+        elif two in ("--", "//"):
+            kind, end = "comment", line
+        elif ch == '"':
+            kind, end = "string", closed('"', i) or line
+        elif ch == "'" and closed("'", i):
+            kind, end = "quoted", closed("'", i)
+        elif ch == "[" and closed("]", i):
+            kind, end = "bracketed", closed("]", i)
+        elif ch.isalpha() or ch == "_":
+            kind, end = "word", i + 1
+            while end < len(formula) and (formula[end].isalnum() or formula[end] == "_"):
+                end += 1
+        elif ch.isdigit():
+            kind, end = "number", i + 1
+            while end < len(formula) and (formula[end].isdigit() or formula[end] == "."):
+                end += 1
+        else:
+            kind, end = "blank" if ch in " \n\t" else "symbol", i + 1
+        out.append((kind, formula[i:end]))
+        i = end
+    return out
+
+
 def python_strip(formula):
-    """Character by character: block comments first, then -- and // outside strings."""
-    formula = re.sub(r"/\*.*?\*/", "", formula, flags=re.S)
-    out = []
-    for line in formula.split("\n"):
-        inside = False
-        for i, ch in enumerate(line):
-            if ch == '"':
-                inside = not inside
-            elif not inside and line[i : i + 2] in ("--", "//"):
-                line = line[:i]
-                break
-        out.append(line)
-    return "\n".join(out)
+    return "".join(t for kind, t in python_tokens(formula) if kind != "comment")
+
+
+FORMULAS = st.lists(st.text(alphabet="a1é_-/\"'*[]().+\n ", max_size=24), min_size=80, max_size=120)
 
 
 def test_strip_comments_matches_python(spark):
-    @settings(max_examples=3, deadline=None)
-    @given(st.lists(st.text(alphabet='a-/"*\n ', max_size=16), min_size=50, max_size=80))
+    @settings(max_examples=4, deadline=None)
+    @given(FORMULAS)
     def check(values):
         assert many(spark, values, refs.strip_comments) == [python_strip(v) for v in values]
 
     check()
 
 
+def test_tokens_match_python(spark):
+    @settings(max_examples=4, deadline=None)
+    @given(FORMULAS)
+    def check(values):
+        got = [[(t["kind"], t["text"]) for t in row] for row in many(spark, values, refs.tokens)]
+        assert got == [[t for t in python_tokens(v) if t[0] != "blank"] for v in values]
+
+    check()
+
+
+def test_signs_stand_for_what_they_stand_in(spark):
+    assert one(spark, '"a /* b" & [C] & "d */ e"', refs.strip_comments) == '"a /* b" & [C] & "d */ e"'
+    assert one(spark, "-- no /* block\n[A] */ [B]", refs.strip_comments) == "\n[A] */ [B]"
+    assert {r["ref_column"] for r in one(spark, '"/*" & [Kept] & "*/" /* [Gone] */', refs.usage_refs)} == {"Kept"}
+
+
 def test_keywords_are_no_tables(spark):
     found = one(spark, "VAR a = 1 RETURN [Sales] + RETURN Fact[Qty] + 'My ''T'[C] + X[Y].[Date]", refs.usage_refs)
     assert [(r["ref_table"], r["ref_column"]) for r in found] == [

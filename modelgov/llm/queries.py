@@ -125,6 +125,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+SQL_4 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e,
+    embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)
+      AND len([x FOR x IN embedding IF x <> 0]) > 0 AS good
+  FROM embeddings
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE a.good AND b.good AND list_cosine_similarity(a.e, b.e) >= 0.9
+), reach(x, root) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT l.y, r.root FROM reach r JOIN links l ON l.x = r.x
+), named AS (SELECT x, min(root) AS component_id FROM reach GROUP BY x),
+counted AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+SELECT v.vec_id, coalesce(c.n_links, 0) AS n_links, n.component_id, v.vec_id = n.component_id AS kept
+FROM v JOIN named n ON n.x = v.vec_id LEFT JOIN counted c ON c.x = v.vec_id
+"""
+
 SQL_6 = """
 WITH good AS (
   SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS w
@@ -219,6 +236,28 @@ SELECT record_id, url, seconds, refers_to, outcome,
 FROM o
 """
 
+SQL_9 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END)) AS g
+  FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+f AS MATERIALIZED (SELECT g, row_number() OVER () AS id FROM s GROUP BY g HAVING count(*) > 1),
+t AS MATERIALIZED (SELECT doc_id, id FROM s JOIN f ON f.g = s.g),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM t a JOIN t b ON a.id = b.id AND a.doc_id < b.doc_id GROUP BY ALL),
+half AS MATERIALIZED (
+  SELECT x, y FROM shared JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)
+), links AS MATERIALIZED (SELECT x, y FROM half UNION ALL SELECT y, x FROM half), reach(x, root) AS (
+  SELECT doc_id, doc_id FROM w UNION SELECT l.y, r.root FROM reach r JOIN links l ON l.x = r.x
+)
+SELECT r.x AS doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(root) AS component_id
+FROM reach r LEFT JOIN n ON n.doc_id = r.x GROUP BY r.x
+"""
+
 SQL_11 = r"""
 WITH p AS (
   SELECT lang, regexp_extract_all(x, '[^\x20\x09]+') AS w FROM (
@@ -314,4 +353,7 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM t GROUP BY conv_id
 """
 
-ORACLES = {"op6_block_topk": SQL_6, "op7_hash_mixture": SQL_7, "op8_warc_revisits": SQL_8, "op11_phrase_mining": SQL_11, "op12_merkle_manifest": SQL_12, "op13_reply_trees": SQL_13}
+ORACLES = {
+    "op4_itq_near_duplicates": SQL_4, "op6_block_topk": SQL_6, "op7_hash_mixture": SQL_7, "op8_warc_revisits": SQL_8,
+    "op9_ngram_rtree_join": SQL_9, "op11_phrase_mining": SQL_11, "op12_merkle_manifest": SQL_12, "op13_reply_trees": SQL_13,
+}

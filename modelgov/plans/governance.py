@@ -246,7 +246,8 @@ def run(
     reports are definition folders (``reports_root``), legacy containers (``layouts_root``) or both.  All faults of
     the inputs are told at once.  ``model_of`` and ``mode`` are those of ``read_usage`` and ``decide_all``.  Reports
     without a model end the run (``on_unmatched="raise"``) or are only written to the audits (``"audit"``).
-    A model with unread documents, layouts or relationships gets no DROP statements.
+    A model with unread documents, layouts or relationships gets no DROP statements.  ``out/metrics`` holds the number
+    of rows of every relation, observed while it was written.
     """
     if on_unmatched not in ("raise", "audit"):
         raise ValueError(f"unknown handling of unmatched reports {on_unmatched!r}")
@@ -276,20 +277,25 @@ def run(
             "report_id", absent.alias("page_id"), absent.alias("visual_id"), F.lit("layout").alias("kind")))
     unread = materialise(unread)
     unread_ends = materialise(tp.unread_relations(definitions.relationship_files(files)))
+    counts: dict[str, int] = {}
+
+    def keep(df: DataFrame, where: str) -> None:
+        sinks.write_counted(df, f"{out}/{where}", counts, where)
+
     for name, audit in (
         ("unmatched_reports", alone), ("unread_documents", unread), ("unread_relations", unread_ends),
         ("unresolved_relations", model.unresolved), ("bad_semantic_links", tp.bad_semantic_links(model.blocks)),
     ):
-        sinks.write_relation(audit, f"{out}/audit/{name}")
+        keep(audit, f"audit/{name}")
     lone = alone.limit(3).collect() if on_unmatched == "raise" else []
     if lone:
         raise ValueError(f"reports without a model, such as {[r[0] for r in lone]}: pass model_of, or on_unmatched='audit'")
     uses = materialise(read_usage(model, documents, model_of, layouts))
-    sinks.write_usage(uses, f"{out}/usage")
+    keep(uses, "usage")
     sinks.write_catalog(model.tables, model.columns, model.relations, f"{out}/catalog")
     sinks.write_security(model.security, f"{out}/security")
     for name in STRUCTURE:
-        sinks.write_relation(getattr(model, name), f"{out}/structure/{name}")
+        keep(getattr(model, name), f"structure/{name}")
     table, measure, summary = lineage(model)
     sinks.write_lineage(table, measure, f"{out}/lineage")
     sinks.write_relation(summary, f"{out}/lineage/summary")
@@ -302,8 +308,8 @@ def run(
         drop_columns=result.drop_columns.join(doubtful, "model_id", "left_anti"),
     )
     for name in ("counts", "columns", "tables", "model_items", "conflicts", "unmatched_usage", "unmatched_endpoints"):
-        sinks.write_relation(getattr(result, name), f"{out}/decisions/{name}")
-    sinks.write_relation(cleanup.implicit_value_columns(result.columns), f"{out}/audit/implicit_value_columns")
+        keep(getattr(result, name), f"decisions/{name}")
+    keep(cleanup.implicit_value_columns(result.columns), "audit/implicit_value_columns")
     sinks.write_statements(result.drop_tables, f"{out}/sql/drop_tables")
     sinks.write_statements(result.drop_columns, f"{out}/sql/drop_columns")
     sinks.write_relation(decide.run_summary(result.drop_tables, result.drop_columns, result.model_items), f"{out}/summary")
@@ -312,8 +318,9 @@ def run(
         sinks.write_edited_files(edited, f"{out}/cleanup/files")
         sinks.record_edits(edited, f"{out}/cleanup/versions")
         sinks.write_report(removed, skipped, f"{out}/cleanup")
-        sinks.write_relation(cleanup.cleanup_summary(removed, skipped), f"{out}/cleanup/summary")
-        sinks.write_relation(cleanup.not_deletable(skipped), f"{out}/cleanup/not_deletable")
+        keep(cleanup.cleanup_summary(removed, skipped), "cleanup/summary")
+        keep(cleanup.not_deletable(skipped), "cleanup/not_deletable")
+    sinks.write_relation(sinks.counts_relation(spark, counts), f"{out}/metrics")
     return result
 
 

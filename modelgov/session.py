@@ -52,7 +52,20 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder, for files of one run."""
-    return f"{ensure_checkpoint_dir(spark)}/modelgov-{name}-{uuid.uuid4().hex}"
+    return f"{_run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _run_folder(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/modelgov-{spark.sparkContext.applicationId}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete every table and file this application wrote with ``materialise`` and ``scratch``.
+
+    Results that still read them are lost, so call it when all results are written elsewhere.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -62,6 +75,6 @@ def materialise(df: DataFrame) -> DataFrame:
     leaves sizes from which the optimizer picks join strategies.
     """
     spark = df.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark)}/modelgov-{uuid.uuid4().hex}"
+    folder = scratch(spark, "table")
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)

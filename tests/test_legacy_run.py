@@ -103,6 +103,13 @@ def test_audits_and_versions(spark, result):
     assert set(before) - set(after) == {"tables/Loose.tmdl"}
 
 
+def test_metrics_equal_the_relations(spark, result):
+    _, out = result
+    metrics = {r.relation: r.rows for r in spark.read.parquet(f"{out}/metrics").collect()}
+    assert len(metrics) > 15 and metrics["usage"] > 0
+    assert metrics == {name: spark.read.parquet(f"{out}/{name}").count() for name in metrics}
+
+
 def test_decisions_from_stored_inputs(spark, result):
     decided, out = result
     again = governance.decide_stored(spark, out)

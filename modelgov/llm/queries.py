@@ -190,17 +190,16 @@ JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.place = c.place
 
 SQL_8 = r"""
 WITH p AS (
-  SELECT coalesce(CAST(page_id AS BIGINT), 0) AS n, url, html, '"' || md5(html) || '"' AS tag FROM pages
+  SELECT coalesce(CAST(page_id AS BIGINT), 0) AS n, url, md5(html) AS md, sha256(html) AS sha, strlen(html) AS size FROM pages
+), k AS (
+  SELECT *, unnest(range(CASE WHEN n % 101 = 0 THEN 40 ELSE 2 + n % 3 END)) AS k FROM p
 ), rec AS (
-  SELECT n, n * 2 AS record_id, TRUE AS full_, url AS uri, 1700000000 + (n * 7919) % 864000 AS seconds, tag,
-    'day ' || (n % 97) AS day, 'max-age=60' AS cache, strlen(html) AS size, sha256(html) AS payload
-  FROM p
-  UNION ALL
-  SELECT n, n * 2 + 1, FALSE, url || '#again',
-    1700000000 + (n * 7919) % 864000 + CASE WHEN n % 11 = 0 THEN -5000 ELSE 1800 * (1 + n % 5) END,
-    CASE n % 7 WHEN 3 THEN '"stale"' WHEN 5 THEN 'W/' || tag WHEN 6 THEN NULL ELSE tag END,
-    'day ' || (n % 97), 'max-age=' || (n % 7), 0, NULL
-  FROM p
+  SELECT n, n * 64 + k AS record_id, k % 3 = 0 AS full_, CASE WHEN k % 3 = 0 THEN url ELSE url || '#again' END AS uri,
+    1700000000 + (n * 7919) % 864000 + k * 2700 + CASE WHEN n % 11 = 0 AND k = 1 THEN -5000 ELSE 0 END AS seconds,
+    CASE WHEN k % 3 = 0 THEN tag ELSE CASE (n + k) % 7 WHEN 3 THEN '"stale"' WHEN 5 THEN 'W/' || tag WHEN 6 THEN NULL ELSE tag END END AS tag,
+    'day ' || ((n + k // 4) % 97) AS day, 'max-age=' || ((n + k) % 7) AS cache, CASE WHEN k % 3 = 0 THEN size ELSE 0 END AS size,
+    CASE WHEN k % 3 = 0 THEN sha || '-' || (k // 4) END AS payload
+  FROM (SELECT *, '"' || md || '-' || (k // 4) || '"' AS tag FROM k)
 ), b AS (
   SELECT *, regexp_replace(regexp_replace(trim(uri), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.\-]*://', '') AS bare FROM rec
 ), h AS (

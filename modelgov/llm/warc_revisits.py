@@ -97,34 +97,39 @@ def resolve(records: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Crawl records for a table of pages (page_id, url, html): a response and a later revisit of each.
+    """Crawl records for a table of pages (page_id, url, html): 2 to 4 captures of most pages, 40 of one in 101.
 
-    Dates, URL variants and validators follow from the page id, so that some revisits precede their
-    response, some carry a stale or weak tag, and some only a date.
+    Every third capture is a full response, the others are revisits.  Dates, URL variants and validators follow from the
+    page id and the capture: content changes with every fourth capture, some revisits precede their response, some
+    carry a stale or weak tag, and some only a date.
     """
-    tag = F.concat(F.lit('"'), F.md5(F.col("html").cast("binary")), F.lit('"'))
     n = F.coalesce(F.col("page_id").cast("long"), F.lit(0))
-    at = F.lit(1_700_000_000) + F.pmod(n * 7919, F.lit(864_000))
-    day = F.concat(F.lit("day "), F.pmod(n, F.lit(97)).cast("string"))
-    response = pages.select(
-        (n * 2).alias("record_id"), F.lit("response").alias("type"), F.col("url").alias("uri"), F.timestamp_seconds(at).alias("date"),
-        F.lit(200).alias("status"),
-        F.create_map(
-            F.lit("etag"), tag, F.lit("last-modified"), day, F.lit("content-type"), F.lit("text/html"),
-            F.lit("cache-control"), F.lit("max-age=60"), F.lit("content-length"), F.octet_length("html").cast("string"),
-        ).alias("headers"),
-        F.sha2(F.col("html").cast("binary"), 256).alias("payload"),
-    )
-    later = at + F.when(F.pmod(n, F.lit(11)) == 0, -5000).otherwise(1800 * (1 + F.pmod(n, F.lit(5))))
-    kind = F.pmod(n, F.lit(7))
+    times = F.when(F.pmod(n, F.lit(101)) == 0, 40).otherwise(2 + F.pmod(n, F.lit(3)))
+    html = F.col("html").cast("binary")
+    rows = pages.select(
+        n.alias("n"), "url", F.md5(html).alias("md5"), F.sha2(html, 256).alias("sha"), F.octet_length("html").cast("string").alias("size"), times.alias("times"),
+    ).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("k"))
+    n, k = F.col("n"), F.col("k")
+    version = F.floor(k / 4)
+    tag = F.concat(F.lit('"'), F.col("md5"), F.lit("-"), version.cast("string"), F.lit('"'))
+    day = F.concat(F.lit("day "), F.pmod(n + version, F.lit(97)).cast("string"))
+    early = F.when((F.pmod(n, F.lit(11)) == 0) & (k == 1), -5000).otherwise(0)
+    at = F.lit(1_700_000_000) + F.pmod(n * 7919, F.lit(864_000)) + k * 2700 + early
+    kind = F.pmod(n + k, F.lit(7))
     sent = F.when(kind == 3, F.lit('"stale"')).when(kind == 5, F.concat(F.lit("W/"), tag)).when(kind == 6, F.lit(None).cast("string")).otherwise(tag)
-    both = F.create_map(
+    full = k % 3 == 0
+    of_response = F.create_map(
+        F.lit("etag"), tag, F.lit("last-modified"), day, F.lit("content-type"), F.lit("text/html"),
+        F.lit("cache-control"), F.lit("max-age=60"), F.lit("content-length"), F.col("size"),
+    )
+    of_revisit = F.create_map(
         F.lit("etag"), sent, F.lit("last-modified"), day, F.lit("cache-control"), F.concat(F.lit("max-age="), kind.cast("string")),
         F.lit("content-length"), F.lit("0"), F.lit("set-cookie"), F.lit("a=b"),
     )
-    revisit = pages.select(
-        (n * 2 + 1).alias("record_id"), F.lit("revisit").alias("type"), F.concat(F.col("url"), F.lit("#again")).alias("uri"),
-        F.timestamp_seconds(later).alias("date"), F.lit(304).alias("status"),
-        F.map_filter(both, lambda _, v: v.isNotNull()).alias("headers"), F.lit(None).cast("string").alias("payload"),
+    return rows.select(
+        (n * 64 + k).alias("record_id"), F.when(full, "response").otherwise("revisit").alias("type"),
+        F.when(full, F.col("url")).otherwise(F.concat(F.col("url"), F.lit("#again"))).alias("uri"), F.timestamp_seconds(at).alias("date"),
+        F.when(full, 200).otherwise(304).alias("status"),
+        F.when(full, of_response).otherwise(F.map_filter(of_revisit, lambda _, v: v.isNotNull())).alias("headers"),
+        F.when(full, F.concat("sha", F.lit("-"), version.cast("string"))).alias("payload"),
     )
-    return response.unionByName(revisit)

@@ -111,3 +111,8 @@ def relation_names(relations: DataFrame, tables: DataFrame, columns: DataFrame)
         problem = F.raise_error(F.lit(f"relationship id without {name}"))
         fields.append(F.coalesce(F.col(name), problem.cast("string")).alias(name))
     return out.select("model_id", *fields)
+
+
+def all_names(names: DataFrame, unresolved: DataFrame) -> DataFrame:
+    """Ends of all relationships by name: the resolved ones of ``relation_names`` and those the catalog lacks."""
+    return names.unionByName(unresolved.select(*names.columns))

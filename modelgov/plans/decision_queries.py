@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cleanup, decide, usage
+from ..operators import catalog, cleanup, decide, usage
 from ..operators import textparse as tp
 from ..session import materialise
 from ..sources.relations import security_set, view_set
@@ -125,11 +125,13 @@ def _unmatched(ctx):
 
 
 @query("unmatched_endpoints", f"""
-    WITH {BASE_CTES}, imported AS (SELECT * FROM master WHERE kind = 'imported')
-    SELECT model_id, key FROM ends e WHERE NOT EXISTS (SELECT 1 FROM imported m WHERE m.model_id = e.model_id AND m.key_norm = e.key_norm)""")
+    WITH {BASE_CTES}, loose AS (
+        SELECT model_id, table_name || '$$Price' AS key FROM lens_sources UNION SELECT model_id, 'Facts_' || {K} || '$$Some Key' FROM lens_sources),
+    every AS (SELECT model_id, key, key_norm FROM ends UNION SELECT model_id, key, lower(key) FROM loose)
+    SELECT model_id, key FROM every e WHERE NOT EXISTS (SELECT 1 FROM master m WHERE m.model_id = e.model_id AND m.key_norm = e.key_norm)""")
 def _unmatched_ends(ctx):
-    # Checked against the imported columns only, so that some ends have no partner.
-    return usage.unmatched_endpoints(cq.master(ctx).filter(F.col("kind") == "imported"), cq.names(ctx))
+    loose = catalog.unresolved_relations(cq.resolved_relations(ctx))
+    return usage.unmatched_endpoints(cq.master(ctx), catalog.all_names(cq.names(ctx), loose))
 
 
 DECISION_COLS = f"{MASTER_COLS}, used_in_report, used_in_relationship, remove_column"

@@ -36,7 +36,7 @@ class Model:
     tables: DataFrame
     columns: DataFrame
     relations: DataFrame
-    unresolved: DataFrame | None
+    unresolved: DataFrame
     security: DataFrame
     links: DataFrame
     owner_refs: DataFrame
@@ -183,7 +183,7 @@ def decide_all(
         counts=counts, columns=final, tables=tables, drop_tables=decide.drop_tables(tables, schema), drop_columns=dropped,
         model_items=decide.model_cleanup(final, tables),
         conflicts=decide.drop_conflicts(dropped, final, model.variations, model.levels, model.sort_by),
-        unmatched_usage=usage.unmatched_usage(master, counts), unmatched_endpoints=usage.unmatched_endpoints(master, ends),
+        unmatched_usage=usage.unmatched_usage(master, counts), unmatched_endpoints=usage.unmatched_endpoints(master, catalog.all_names(ends, model.unresolved)),
     )
 
 
@@ -336,6 +336,6 @@ def decide_stored(
     structure = {name: read_relation(spark, f"{stored}/structure/{name}", fmt) for name in STRUCTURE}
     model = Model(
         files=None, blocks=None, formulas=None, closure=None, tables=tables, columns=columns, relations=relations,
-        unresolved=None, security=read_relation(spark, f"{stored}/security", fmt), **structure,
+        unresolved=read_relation(spark, f"{stored}/audit/unresolved_relations", fmt), security=read_relation(spark, f"{stored}/security", fmt), **structure,
     )
     return decide_all(model, read_relation(spark, f"{stored}/usage", fmt), views, security, mode=mode, schema=schema)

@@ -13,7 +13,7 @@ registry.load_all()
 QUICK = [
     "measure_formulas", "semantic_links", "block_ranges", "catalog_columns", "filter_lineage", "visual_fields",
     "field_usage_counts", "column_decisions", "cleanup_text", "layout_fields", "tom_columns", "render_relations_text",
-    "visual_matrix",
+    "visual_matrix", "protect_structure", "token_stream", "restored_text", "stored_catalog", "unmatched_endpoints",
 ]
 NAMES = sorted(registry.ORACLES) if os.environ.get("ALL_QUERIES") else QUICK
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from modelgov.operators import decide, usage
+from modelgov.operators import decide, textparse, usage
 
 
 def plan(df) -> str:
@@ -60,3 +60,35 @@ def test_security_marks_tables_and_reaches_columns(spark):
     rows = spark.createDataFrame([(1, "k", "Yes", True), (1, "l", "Yes", False)], "model_id int, key_norm string, remove_column string, secured boolean")
     out = {r.key_norm: (r.remove_column, r.protected) for r in decide.protect_lists(rows).collect()}
     assert out == {"k": ("No", "Yes"), "l": ("Yes", "No")}
+
+
+RELATIONS = """relationship r1
+	fromColumn: 'It''s'.[a b]
+	toColumn: Dim.Key
+	isActive: FALSE
+
+relationship r2
+	crossFilteringBehavior: bothDirections
+	fromColumn: 'x y'.'p.q'
+	toColumn: nothing
+
+relationship r3
+	toColumn: A . B
+	fromColumn: C.D
+"""
+
+
+def test_text_is_matched_once_however_many_columns_are_read_from_it(spark):
+    files = spark.range(3).select(
+        "id", F.lit(1).alias("model_id"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("path"),
+        F.when(F.col("id") == 0, RELATIONS).when(F.col("id") == 1, "no relations").alias("content"),
+    ).drop("id")
+    read = textparse.parse_relations(files)
+    rows = [tuple(r) for r in read.orderBy("rel_no").collect()]
+    assert rows == [
+        (1, "f0", 1, "r1", "It's", "a b", "Dim", "Key", "oneDirection", False),
+        (1, "f0", 3, "r3", "C", "D", "A", "B", "oneDirection", True),
+    ]
+    assert [r.relationship for r in textparse.unread_relations(files).collect()] == ["r2"]
+    assert plan(read).count("fromColumn:(") == 1
+    assert plan(textparse.parse_columns(textparse.blocks(files))).count("column|measure|hierarchy|partition|annotation)\\s)") == 1

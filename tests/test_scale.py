@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from modelgov.operators import decide, textparse, usage
+from modelgov.operators import decide, layout, textparse, usage
 
 
 def plan(df) -> str:
@@ -92,3 +92,23 @@ def test_text_is_matched_once_however_many_columns_are_read_from_it(spark):
     assert [r.relationship for r in textparse.unread_relations(files).collect()] == ["r2"]
     assert plan(read).count("fromColumn:(") == 1
     assert plan(textparse.parse_columns(textparse.blocks(files))).count("column|measure|hierarchy|partition|annotation)\\s)") == 1
+
+
+def test_a_condition_is_unwrapped_once_however_many_paths_are_tried(spark):
+    column = '{"Column":{"Expression":{"SourceRef":{"Source":"a"}},"Property":"P"}}'
+    direct = '{"Condition":{"StartsWith":{"Left":%s}}}' % column
+    wrapped = '{"Condition":{"Not":{"Expression":{"And":{"Left":{"Not":{"In":{"Expressions":[%s]}}},"Right":{}}}}}}' % column
+    alias = '"From":[{"Name":"a","Entity":"T"}]'
+    lists = [
+        f'[{{"filter":{{{alias},"Where":[{{"Condition":{{"Exists":{{}}}}}},{direct}]}}}},{{"filter":{{{alias},"Where":[{wrapped}]}}}}]',
+        "[]", None, "[null]", '[{"type":"x","filter":{"Where":[{"Condition":{"Exists":{"Not":1}}}]}}]', "broken",
+    ]
+    rows = spark.createDataFrame(list(enumerate(lists)), "id int, filters string")
+    read = layout.normalise_filters(rows)
+    found = sorted((r.id, r.filter_no, r.filter_type, r.origin, r.table_name, r.column_name) for r in read.collect() if r.id < 5)
+    assert found == [
+        (0, 0, "Categorical", "condition", "T", "P"), (0, 1, "Categorical", "condition", "T", "P"),
+        (3, 0, "Categorical", "none", "", ""), (4, 0, "x", "none", "", ""),
+    ]
+    assert plan(read).count("aggregate(") == 1
+    assert "size(from_json(" not in plan(read)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from modelgov.operators import decide, layout, textparse, usage
+from modelgov.plans import registry
 
 
 def plan(df) -> str:
@@ -112,3 +113,27 @@ def test_a_condition_is_unwrapped_once_however_many_paths_are_tried(spark):
     ]
     assert plan(read).count("aggregate(") == 1
     assert "size(from_json(" not in plan(read)
+
+
+def test_shuffles_start_from_partitions_in_proportion_to_the_input(spark, tmp_path, monkeypatch):
+    (tmp_path / "orders.parquet").write_bytes(b"x" * 1000)
+    monkeypatch.setitem(registry.QUERIES, "probe", lambda ctx: ctx.spark.range(1))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    before = spark.conf.get(registry.INITIAL_PARTITIONS, None)
+    try:
+        registry.run("probe", spark, str(tmp_path))
+        assert int(spark.conf.get(registry.INITIAL_PARTITIONS)) == least
+        monkeypatch.setattr(registry, "PARTITION_BYTES", 10)
+        registry.run("probe", spark, str(tmp_path))
+        assert int(spark.conf.get(registry.INITIAL_PARTITIONS)) == 100
+    finally:
+        spark.conf.unset(registry.INITIAL_PARTITIONS) if before is None else spark.conf.set(registry.INITIAL_PARTITIONS, before)
+
+
+def test_text_is_read_once_for_columns_measures_and_formulas(spark):
+    text_of = "table T\n\n\tmeasure 'M 1' = SUM(T[a])\n\t\tformatString: 0\n\n\tcolumn a\n\t\tsourceColumn: s\n\n\tcolumn b = [a]\n\n"
+    blocks = textparse.blocks(spark.createDataFrame([(1, "p", text_of)], "model_id int, path string, content string"))
+    declared = textparse.declarations(blocks)
+    for reader in (textparse.parse_columns, textparse.parse_measures, textparse.measure_formulas):
+        assert reader(declared).schema == reader(blocks).schema
+        assert reader(declared).collect() == reader(blocks).collect() != []

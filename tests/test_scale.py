@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
+from modelgov.functions.text import PLACE, key_place, norm_pair
 from modelgov.operators import decide, layout, textparse, usage
 from modelgov.plans import registry
+from modelgov.session import reuse_dealing
 
 
 def plan(df) -> str:
@@ -137,3 +142,49 @@ def test_text_is_read_once_for_columns_measures_and_formulas(spark):
     for reader in (textparse.parse_columns, textparse.parse_measures, textparse.measure_formulas):
         assert reader(declared).schema == reader(blocks).schema
         assert reader(declared).collect() == reader(blocks).collect() != []
+
+
+def test_dealt_decisions_stay_where_they_are(spark):
+    """Protections of dealt decisions give the same rows, and no step moves the decisions."""
+    n = F.col("id").cast("string")
+    rows = spark.range(12).select(
+        (F.col("id") % 2).alias("model_id"), F.concat(F.lit("T"), F.col("id") % 3).alias("table_name"), F.concat(F.lit("c"), n).alias("column_name"),
+        F.lit("measure").alias("kind"), F.when(F.col("id") < 3, "No").otherwise("Yes").alias("remove_column"), F.lit("No").alias("protected"),
+    ).withColumn("key_norm", norm_pair("table_name", "column_name"))
+    links = spark.createDataFrame([(0, "T0", "C0 ?", "T1", "c4"), (1, "T0", "c0", "T0", "c3")], "model_id long, table_name string, column_name string, target_table string, target_column string")
+    refs = spark.createDataFrame([(0, "t1", "c4", "t0", "C6"), (1, "t1", "c7", "t2", "c5")], "model_id long, table_name string, name string, ref_table string, ref_column string")
+    levels = spark.createDataFrame(
+        [(0, "T0", "h", "c6"), (0, "T0", "h", "c0"), (1, "T1", "h", "c1"), (1, "T1", "h", "c7"), (1, "T1", "h", None), (1, "T2", "h", "c5")],
+        "model_id long, table_name string, hierarchy string, column_name string")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    reuse_dealing(spark)
+    try:
+        plain = decide.protect_structure(rows, links, refs, levels)
+        dealt = decide.protect_structure(rows.withColumn(PLACE, key_place("key_norm")).repartition("model_id", PLACE), links, refs, levels)
+        found = {(r.model_id, r.column_name): (r.remove_column, r.protected) for r in dealt.collect()}
+        assert found == {(r.model_id, r.column_name): (r.remove_column, r.protected) for r in plain.collect()}
+        assert {k: v[1] for k, v in found.items() if v[1] != "No"} == {(0, "c4"): "SemanticLink", (0, "c6"): "DAXReference", (1, "c7"): "HierarchyLevel"}
+        assert "Exchange" not in dealt._jdf.queryExecution().executedPlan().toString()
+        kept = decide.kept_keys(dealt)
+        for targets in (decide.link_targets(links, kept), decide.formula_targets(refs, kept)):
+            text = targets._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange hashpartitioning(model_id" in text and "Bucketed: false" not in text
+    finally:
+        reuse_dealing(spark, False)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
+def test_lines_are_read_once_for_columns_and_levels(spark):
+    """Both lenses come from one grouping of the lines, and joins by table do not move it."""
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test data")
+    ctx = registry.Context(spark, sf)
+    ctx.deal(lens_named="table_id", lens_columns="table_id", lens_tables="table_id")
+    try:
+        assert "lineitem" not in plan(ctx.lens("lens_columns")) + plan(ctx.lens("lens_levels"))
+        joined = ctx.lens("lens_columns").join(ctx.lens("lens_tables"), ["model_id", "table_id"])
+        assert "Exchange" not in joined.hint("merge")._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+    finally:
+        reuse_dealing(spark, False)

@@ -38,14 +38,16 @@ from .work import Work
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 END = b"\xff"  # no byte of UTF-8
 TABLE = bytes.maketrans(bytes(range(ord("A"), ord("Z") + 1)) + BREAKS + b"\t", bytes(range(ord("a"), ord("z") + 1)) + END * len(BREAKS) + b" ")
-SLICE = 1 << 22
-#: words held by a task before it hands out what it counted, and distinct keys likewise
-MOST_WORDS = 1 << 20
-MOST_KEYS = 1 << 20
+SLICE = 1 << 20
+#: words held by a task, of all languages, before it hands out what it counted, and keys likewise
+MOST_WORDS = 1 << 18
+MOST_KEYS = 1 << 19
+#: bytes of keys that leave a task at once
+PAYLOAD_BYTES = 4 << 20
 HOT_SHARE = 1024
 #: bits of the table of frequent words; its size is fixed, a fuller one only lets more infrequent words through
 TABLE_BITS = 25
-PARTITION_BYTES = 64 << 20
+PARTITION_BYTES = 32 << 20
 
 
 class Words(dict):
@@ -141,6 +143,11 @@ def merged(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[order[new]], np.add.reduceat(weights[order], new)
 
 
+def gathered(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys and weights of several lists, ``merged``."""
+    return found[0] if len(found) == 1 else merged(np.concatenate([k for k, _ in found]), np.concatenate([w for _, w in found]))
+
+
 def hot_words(keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """How many leading words of each suffix are hot; the last word does not count."""
     leading = np.zeros(len(keys), np.int64)
@@ -156,7 +163,8 @@ def routed(texts: DataFrame, frequent, hot: np.ndarray, longest: int, parts: int
 
     def out(words: Words, found: list) -> Iterator[pa.RecordBatch]:
         names = words.digests()
-        keys, weights = merged(np.concatenate([k for k, _ in found]), np.concatenate([w for _, w in found]))
+        keys, weights = gathered(found)
+        found.clear()
         keys = names[keys]
         leading = hot_words(keys, hot)
         route = keys[:, 0].copy()
@@ -165,16 +173,26 @@ def routed(texts: DataFrame, frequent, hot: np.ndarray, longest: int, parts: int
         part = (mix(route) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         cuts = np.searchsorted(part[order], np.arange(parts + 1))
-        used = np.flatnonzero(np.diff(cuts))
-        for lo in range(0, len(used), 256):
-            rows = [order[cuts[p] : cuts[p + 1]] for p in used[lo : lo + 256]]
-            body = [np.column_stack([keys[r], weights[r].view(np.uint64)]).tobytes() for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(used[lo : lo + 256], pa.int32()), pa.array(body, pa.binary())], ["part", "payload"])
+        at, body, size = [], [], 0
+        for p in np.flatnonzero(np.diff(cuts)).tolist():
+            rows = order[cuts[p] : cuts[p + 1]]
+            at.append(p)
+            body.append(np.column_stack([keys[rows], weights[rows].view(np.uint64)]).tobytes())
+            size += len(body[-1])
+            if size > PAYLOAD_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(body, pa.binary())], ["part", "payload"])
+                at, body, size = [], [], 0
+        if at:
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(body, pa.binary())], ["part", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = frequent.value
         held: dict[str, tuple[Words, list]] = {}
         known: dict[str, np.ndarray] = {}
+
+        def n_keys() -> int:
+            return sum(len(k) for _, found in held.values() for k, _ in found)
+
         for batch in batches:
             for lang, own in by_lang(batch):
                 words, found = held.setdefault(lang, (Words(lang, salt), []))
@@ -182,22 +200,31 @@ def routed(texts: DataFrame, frequent, hot: np.ndarray, longest: int, parts: int
                 fine = known.get(lang, np.zeros(1, bool))
                 if len(fine) < len(words):
                     fine = known[lang] = in_table(table, words.digests())
-                at = np.concatenate([np.where(fine[at], at, 0), np.zeros(longest, np.int32)]).astype(np.int64)
+                at = np.concatenate([np.where(fine[at], at, 0), np.zeros(longest, np.int32)]).astype(np.int32)
                 n = len(at) - longest
-                keys = np.empty((n, longest), np.int64)
+                keys = np.empty((n, longest), np.int32)
                 alive = np.ones(n, bool)
                 for d in range(longest):
                     alive &= at[d : d + n] > 0
                     keys[:, d] = np.where(alive, at[d : d + n], 0)
                 keys = keys[keys[:, 1] > 0]
                 found.append(merged(keys, np.ones(len(keys), np.int64)))
-                if sum(len(k) for k, _ in found) > MOST_KEYS:
-                    found[:] = [merged(np.concatenate([k for k, _ in found]), np.concatenate([w for _, w in found]))]
-                if len(words) > MOST_WORDS or len(found[0][0]) > MOST_KEYS // 2:
-                    yield from out(*held.pop(lang))
-                    known.pop(lang)
-        for lang in list(held):
-            yield from out(*held.pop(lang))
+                if n_keys() > MOST_KEYS:
+                    for _, some in held.values():
+                        some[:] = [gathered(some)] if some else []
+                    if n_keys() > MOST_KEYS // 2:
+                        for other, some in held.values():
+                            if some:
+                                yield from out(other, some)
+                if sum(len(w) for w, _ in held.values()) > MOST_WORDS:
+                    for other, some in held.values():
+                        if some:
+                            yield from out(other, some)
+                    held.clear()
+                    known.clear()
+        for other, some in held.values():
+            if some:
+                yield from out(other, some)
 
     return texts.mapInArrow(run, "part int, payload binary")
 
@@ -258,9 +285,9 @@ def phrase_counts(routes: DataFrame, hot: np.ndarray, longest: int, least: int,
         found.clear()
         leading = hot_words(rows[:, :longest], hot)
         for shared in range(longest):
-            own = rows[leading == shared]
-            keys = np.ascontiguousarray(own[:, :longest].T)
-            for depth, at, f in quicksort_counts(keys, own[:, longest].astype(np.int64), least, shared):
+            own = leading == shared
+            keys = np.stack([rows[own, d] for d in range(longest)])
+            for depth, at, f in quicksort_counts(keys, rows[own, longest].astype(np.int64), least, shared):
                 for lo in range(0, len(at), 65536):
                     some = at[lo : lo + 65536]
                     flat = np.ascontiguousarray(keys[:depth, some].T).view(np.int64).ravel()

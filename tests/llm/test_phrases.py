@@ -3,8 +3,10 @@
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +121,29 @@ def test_quicksort_counts_equal_partitions(seed, least, vocabulary):
                 assert tuple(keys[:depth, i].tolist()) not in got
                 got[tuple(keys[:depth, i].tolist())] = n
         assert got == {p: n for p, n in want.items() if n >= least or len(p) <= shared}
+
+
+def test_keys_leave_a_task_in_bounded_batches(monkeypatch):
+    """All languages share the room for keys, and a batch holds a bounded number of bytes, however many parts there are."""
+    monkeypatch.setattr(pm, "PAYLOAD_BYTES", 2000, raising=False)
+    monkeypatch.setattr(pm, "MOST_KEYS", 3000)
+    taken = []
+    texts = SimpleNamespace(mapInArrow=lambda run, schema: run)
+    table = SimpleNamespace(value=np.full(1 << (pm.TABLE_BITS - 6), 2**64 - 1, np.uint64))
+    run = pm.routed(texts, table, np.zeros(0, np.uint64), 3, 64, 0)
+
+    def batches():
+        for k in range(12):
+            taken.append(k)
+            words = " ".join(f"w{(k * 7 + i * i) % 997}" for i in range(700))
+            yield pa.RecordBatch.from_arrays([pa.array([f"l{k}"]), pa.array([words])], ["lang", "text"])
+
+    found, when = [], []
+    for b in run(batches()):
+        found.append(b)
+        when.append(len(taken))
+    assert min(when) < 12  # twelve languages together passed the limit that none passed alone
+    for b in found:
+        assert sum(len(x.as_py()) for x in b.column(1)[:-1]) <= 2000
+    weights = [np.frombuffer(x.as_py(), np.uint64).reshape(-1, 4)[:, 3].sum() for b in found for x in b.column(1)]
+    assert sum(weights) == 12 * 699

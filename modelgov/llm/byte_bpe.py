@@ -19,7 +19,8 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
-from functools import cached_property
+from functools import cached_property, lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from pyspark.sql import types as T
 WIDEST = 1024
 WIDTHS = (4, 6, 8, 10, 12, 16, 24, 32, 64, 128, 256, 512, WIDEST)
 CHUNK_CHARS = 1_000_000
+#: a chunk holds this many characters at most, unless a single text cannot be cut
+CHUNK_POWERS = 1 << 21
 CACHE_PIECES = 400_000
 NO_RANK = np.int32(2**31 - 1)
 
@@ -62,11 +65,9 @@ def piece_starts(chars: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     after = np.concatenate([kinds[1:], [EDGE]])
     space, was_space = kinds == SPACE, before == SPACE
     blank_before = np.concatenate([[False], chars[:-1] == 0x20]) & was_space
-    start = np.where(
-        space,
-        ~was_space | ((after != SPACE) & (after != EDGE)),  # the last of a run goes with what follows
-        np.where(was_space, ~blank_before | (kinds == EDGE), kinds != before),
-    )
+    edge = kinds == EDGE
+    last = (after != SPACE) & (after != EDGE)  # the last of a run goes with what follows
+    start = (space & (~was_space | last)) | (~space & ((was_space & (~blank_before | edge)) | (~was_space & (kinds != before))))
     # 's 't 'm 'd 're 've 'll are pieces where an apostrophe opens a piece.
     marks = np.flatnonzero((chars == 0x27) & start & (kinds != EDGE))
     if len(marks):
@@ -85,32 +86,75 @@ def piece_starts(chars: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def distinct_pieces(chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of one of each set of equal pieces, and for every piece the number of its set.
+def powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` modulo 2^64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+#: an odd number and its inverse modulo 2^64
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 2**64)
+
+
+@lru_cache(1)
+def _chunk_powers() -> tuple[np.ndarray, np.ndarray]:
+    return powers(BASE, CHUNK_POWERS), powers(INVERSE, CHUNK_POWERS)
+
+
+def hash_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of the base and of its inverse; kept for chunks of ordinary texts only."""
+    return _chunk_powers() if n <= CHUNK_POWERS else (powers(BASE, n), powers(INVERSE, n))
+
+
+def piece_hashes(chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hash of each piece, from sums over all characters: equal pieces have equal ones."""
+    up, down = hash_powers(len(chars))
+    mixed = chars + np.uint64(0x1000)
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= up[: len(chars)]
+    sums = np.zeros(len(chars) + 1, np.uint64)
+    np.cumsum(mixed, out=sums[1:])
+    return (sums[ends] - sums[starts]) * down[starts]
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of all characters of pieces, piece by piece."""
+    upto = np.cumsum(sizes)
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (upto - sizes), sizes)
+
+
+def distinct_pieces(chars: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the first of each set of equal pieces, and for every piece the number of its set.
 
     Pieces are grouped by a hash of their characters and then compared character by character.
     """
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     sizes = ends - starts
-    inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    at = np.repeat(starts, sizes) + inside
-    own = chars[at]
-    widest = int(sizes.max())
-    powers = np.cumprod(np.full(widest, 0x9E3779B97F4A7C15, np.uint64))
-    mixed = (own.astype(np.uint64) + np.uint64(0x1000)) * powers[inside]
-    mixed ^= mixed >> np.uint64(29)
-    keys = np.add.reduceat(mixed, np.cumsum(sizes) - sizes)
-    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
-    same = sizes[first][which] == sizes
+    which, first = numbered(pa.array(piece_hashes(chars, starts, ends) if hashes is None else hashes))
+    example = first[which]
+    same = sizes[example] == sizes
     if same.all():
-        same = own == chars[np.repeat(starts[first][which], sizes) + inside]
+        others = np.flatnonzero(example != np.arange(len(starts)))
+        at = spread(starts[others], sizes[others])
+        same = chars[at] == chars[at + np.repeat(starts[example[others]] - starts[others], sizes[others])]
     if not same.all():  # two pieces with one hash
-        texts = [chars[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
-        _, first, which = np.unique(np.asarray(texts, object), return_index=True, return_inverse=True)
+        which, first = numbered(pa.array([chars[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.large_binary()))
     return first, which
 
 
+def numbered(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each value the number of its set of equal ones, and the first index of each set."""
+    coded = values.dictionary_encode()
+    which = coded.indices.to_numpy()
+    first = np.empty(len(coded.dictionary), np.int64)
+    first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+    return which, first
+
+
 class Ragged:
     """Byte strings by number, in one buffer; ``join`` gathers many of them at once."""
 
@@ -176,6 +220,65 @@ class PairRanks:
         return out.reshape(shape)
 
 
+class PieceCache:
+    """Numbers of pieces by hash, open addressing; a piece found has been compared with the one kept, character by character.
+
+    Of pieces with one hash the first is kept; the others are never found.
+    """
+
+    def __init__(self) -> None:
+        self._empty(16)
+        self.hashes, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def _empty(self, bits: int) -> None:
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, -1, np.int32)
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, chars: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The number of each piece, -1 if it is not kept."""
+        out = np.full(len(starts), -1, np.int64)
+        todo, slot = np.arange(len(starts)), self._slot(hashes)
+        while len(todo):
+            seen = self.slots[slot]
+            filled = seen >= 0
+            todo, slot, seen = todo[filled], slot[filled], seen[filled]
+            hit = self.hashes[seen] == hashes[todo]
+            out[todo[hit]] = seen[hit]
+            todo, slot = todo[~hit], (slot[~hit] + 1) & self.mask
+        found = np.flatnonzero(out >= 0)
+        found = found[self.sizes[out[found]] == sizes[found]]
+        kept = out[found]
+        at = spread(starts[found], sizes[found])
+        differ = chars[at] != self.flat[at + np.repeat(self.starts[kept] - starts[found], sizes[found])]
+        right = np.ones(len(found), bool)
+        right[np.repeat(np.arange(len(found)), sizes[found])[differ]] = False
+        done = np.full(len(starts), -1, np.int64)
+        done[found[right]] = kept[right]
+        return done
+
+    def add(self, chars: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> None:
+        """Keep pieces, which get the next numbers in order."""
+        number = np.arange(len(self.starts), len(self.starts) + len(starts))
+        upto = len(self.flat) + np.cumsum(sizes)
+        self.flat = np.concatenate([self.flat, chars[spread(starts, sizes)]])
+        self.hashes = np.concatenate([self.hashes, hashes])
+        self.starts, self.sizes = np.concatenate([self.starts, upto - sizes]), np.concatenate([self.sizes, sizes])
+        if 2 * len(self.starts) > len(self.slots):
+            self._empty((4 * len(self.starts)).bit_length())
+            number = np.arange(len(self.starts))
+        slot = self._slot(self.hashes[number])
+        while len(number):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = number[free]  # of several pieces one is put
+            # pieces of a hash that is here already, their own included, are done
+            going = self.hashes[self.slots[slot]] != self.hashes[number]
+            number, slot = number[going], (slot[going] + 1) & self.mask
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file of ``base64-token rank`` lines."""
 
@@ -189,6 +292,8 @@ class Codec:
             self.tokens[rank] = token
         self.pairs = PairRanks(self.ranks, self.size)
         self.bytes = np.asarray([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        every = np.broadcast_to(self.bytes, (256, 256))
+        self.byte_pairs = self.pairs(every.T, every)
         self.kinds = char_classes()
         self._forget()
 
@@ -201,7 +306,7 @@ class Codec:
         return Ragged(self.tokens)
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = PieceCache()
         self.flat, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     # merging
@@ -210,11 +315,14 @@ class Codec:
         """Ids of all rows in one array, and the number of ids of each row."""
         columns = np.arange(width)
         m = np.full((len(rows), width), self.pad, np.int32)
-        m[columns < lengths[:, None]] = self.bytes[np.frombuffer(b"".join(rows), np.uint8)]
+        used = columns < lengths[:, None]
+        raw = np.zeros(m.shape, np.uint8)
+        raw[used] = np.frombuffer(b"".join(rows), np.uint8)
+        m[used] = self.bytes[raw[used]]
         out = np.full((len(rows), width), self.pad, np.int32)
         lengths = lengths.copy()
         row = np.arange(len(rows))
-        r = self.pairs(m[:, :-1], m[:, 1:])
+        r = np.where(used[:, 1:], self.byte_pairs[raw[:, :-1], raw[:, 1:]], NO_RANK)
         while len(row):
             at = r.argmin(axis=1)
             line = np.arange(len(row))
@@ -270,9 +378,9 @@ class Codec:
         return np.asarray([x for x in ids if x >= 0], np.int32)
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces not seen yet and put their ids at the end of the cache."""
+        """Encode pieces not seen yet and put their ids, in order, at the end of the cache."""
         raw = [p.encode() for p in pieces]
-        ranks = np.fromiter((self.ranks.get(b, -1) for b in raw), np.int32, len(raw))
+        ranks = np.fromiter(map(self.ranks.get, raw, repeat(-1)), np.int32, len(raw))
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         group = np.where(ranks >= 0, -1, np.searchsorted(WIDTHS, sizes))
         order, flat, lengths = [], [], []
@@ -294,12 +402,10 @@ class Codec:
                 order.append(part)
                 flat.append(ids)
                 lengths.append(n)
-        base, offset = len(self.known), len(self.flat)
-        order, lengths = np.concatenate(order), np.concatenate(lengths)
-        self.known.update(zip(map(pieces.__getitem__, order.tolist()), range(base, base + len(pieces)), strict=True))
+        order, lengths = np.argsort(np.concatenate(order)), np.concatenate(lengths)
+        starts = len(self.flat) + np.cumsum(lengths) - lengths
         self.flat = np.concatenate([self.flat, *flat])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.starts = np.concatenate([self.starts, offset + np.cumsum(lengths) - lengths])
+        self.lengths, self.starts = np.concatenate([self.lengths, lengths[order]]), np.concatenate([self.starts, starts[order]])
 
     # texts
 
@@ -314,20 +420,22 @@ class Codec:
         ends = np.append(starts[1:], len(chars))
         real = kinds[starts] != EDGE
         starts, ends = starts[real], ends[real]
-        first, which = distinct_pieces(chars, starts, ends)
-        pieces = [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        if len(self.known) > CACHE_PIECES:
+        hashes = piece_hashes(chars, starts, ends)
+        first, which = distinct_pieces(chars, starts, ends, hashes)
+        if len(self.starts) > CACHE_PIECES:
             self._forget()
-        known = self.known
-        new = [p for p in pieces if p not in known]
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))[which]
+        one, sizes, own = starts[first], (ends - starts)[first], hashes[first]
+        at = self.known.find(chars, one, sizes, own)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = np.arange(len(self.starts), len(self.starts) + len(new))
+            self._learn([joined[a:b] for a, b in zip(one[new].tolist(), (one + sizes)[new].tolist(), strict=True)])
+            self.known.add(chars, one[new], sizes[new], own[new])
+        at = at[which]
         lengths = self.lengths[at]
-        total = int(lengths.sum())
-        inside = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        ids = self.flat[np.repeat(self.starts[at], lengths) + inside]
-        per_text = np.bincount(np.searchsorted(edges, starts), weights=lengths, minlength=len(texts)).astype(np.int64)
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        ids = self.flat[np.arange(int(upto[-1])) + np.repeat(self.starts[at] - upto[:-1], lengths)]
+        per_text = np.diff(upto[np.searchsorted(starts, edges)], prepend=0)
         return ids, per_text
 
     def _parts(self, text: str) -> Iterator[str]:

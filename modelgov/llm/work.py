@@ -30,14 +30,14 @@ class Work:
         back._work_path = path  # type: ignore[attr-defined]
         return back
 
-    def keep_bucketed(self, df: DataFrame, column: str, buckets: int, codec: str = "zstd") -> DataFrame:
+    def keep_bucketed(self, df: DataFrame, column: str, buckets: int, codec: str = "zstd", **options: str) -> DataFrame:
         """Like ``keep``, in buckets of ``column``: a join on it moves the other side only.
 
         A task whose rows share their ``column`` writes one file.  The table is external and known to this session
         only; ``drop`` forgets it.
         """
         path, name = f"{self.root}/{len(self.paths)}-{uuid.uuid4().hex[:8]}", f"kept_{uuid.uuid4().hex}"
-        df.write.format("parquet").bucketBy(buckets, column).option("path", path).option("compression", codec).saveAsTable(name)
+        df.write.format("parquet").bucketBy(buckets, column).options(path=path, compression=codec, **options).saveAsTable(name)
         back = self.spark.table(name)
         self.paths[id(back)] = path
         back._work_path, back._work_table = path, name  # type: ignore[attr-defined]

@@ -460,3 +460,23 @@ def test_shards_of_token_ids(documents, tmp_path):
     rows = sorted(feistel_shards.read_slots(shards, width=2).collect(), key=lambda r: (r.doc_id, r.sequence))
     ids = np.concatenate([np.frombuffer(r.tokens, np.uint16) for r in rows if r.doc_id == 1])
     assert byte_bpe.codec(PATH).decode(ids) == ("some words to encode " * 50).encode()
+
+
+def test_pieces_of_one_hash_keep_their_own_ids(monkeypatch):
+    """Grouping and cache tell pieces apart by their characters; the cache grows with its pieces and is emptied between chunks."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    of = byte_bpe.Codec(path)
+    real = byte_bpe.piece_hashes
+    monkeypatch.setattr(byte_bpe, "piece_hashes", lambda *a: real(*a) % np.uint64(97))
+    monkeypatch.setattr(byte_bpe, "CHUNK_CHARS", 3000)
+    monkeypatch.setattr(byte_bpe, "CACHE_PIECES", 900)
+    r = random.Random(5)
+    texts = [" ".join("".join(r.choice("abcé9'.\n") for _ in range(r.randint(1, 4))) for _ in range(300)) for _ in range(30)] * 2
+    whole = tiktoken.Encoding("whole", pat_str=byte_bpe.PATTERN, mergeable_ranks=of.ranks, special_tokens={})
+    assert [x.tolist() for x in of.encode(texts)] == [whole.encode_ordinary(t) for t in texts]
+    monkeypatch.setattr(byte_bpe, "piece_hashes", real)
+    monkeypatch.setattr(byte_bpe, "CHUNK_CHARS", 2_000_000)
+    of = byte_bpe.Codec(path)
+    wide = [" ".join(str(k * 7919) for k in range(60_000)), "", None]
+    assert [x.tolist() for x in of.encode(wide)] == [whole.encode_ordinary(t or "") for t in wide]
+    assert len(of.known.slots) > len(of.known.starts) > 1 << 15

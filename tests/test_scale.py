@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from modelgov.functions.text import PLACE, key_place, norm_pair
-from modelgov.operators import decide, layout, textparse, usage
+from modelgov.operators import catalog, decide, layout, textparse, usage
 from modelgov.plans import registry
 from modelgov.session import reuse_dealing
 
@@ -188,3 +188,27 @@ def test_lines_are_read_once_for_columns_and_levels(spark):
         assert "Exchange" not in joined.hint("merge")._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
     finally:
         reuse_dealing(spark, False)
+
+
+def test_flags_meet_where_their_master_lies(spark):
+    """Both flags of one written master are put together by column id without moving it, and without changing a row."""
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    reuse_dealing(spark)
+    try:
+        tables = spark.createDataFrame([(m, t, f"T {t % 4}") for m in range(3) for t in range(9)], "model_id long, table_id long, table_name string")
+        columns = spark.createDataFrame(
+            [(m, t, f"{t}-{c}", f"c{c}", "[Measure]" if c == 2 else "") for m in range(3) for t in range(9) for c in range(4)],
+            "model_id long, table_id long, column_id string, column_name string, source_column string")
+        plain = catalog.semantic_master(columns, tables)
+        dealt = catalog.written_master(plain)
+        assert sorted(map(tuple, dealt.select(*plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+        flags = [
+            (m.withColumn("used_in_report", F.col("table_id").cast("int") % 2), m.withColumn("used_in_relationship", F.length("column_id") % 2))
+            for m in (plain, dealt)]
+        want, got = (decide.column_decisions(*f) for f in flags)
+        assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        reuse_dealing(spark, False)

@@ -212,3 +212,14 @@ def test_flags_meet_where_their_master_lies(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
         reuse_dealing(spark, False)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_filters_of_visuals_read_their_documents_once(spark, monkeypatch):
+    from modelgov.operators import report
+
+    registry.load_all()
+    calls, real = [], report.visual_documents
+    monkeypatch.setattr(report, "visual_documents", lambda visuals: calls.append(1) or real(visuals))
+    registry.run("visual_filters", spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1

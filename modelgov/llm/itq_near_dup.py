@@ -21,7 +21,9 @@ and there at one value, so it comes up once; vectors of one code are paired with
 Retrieval by tables is approximate (recall is measured against brute force in the tests), the comparison is
 exact: no pair below the threshold is linked.
 
-Bound: the rotation is fitted on at most ``SAMPLE`` vectors, those of least hash; all are indexed.
+Bound: the rotation is fitted on at most ``SAMPLE`` vectors, those of least hash; all are indexed.  Vectors below a hash
+that leaves hardly more than the sample are all that is sent for it, and lists of table values are joined by sorting: the
+planner takes them for as small as the codes they are made of, and would send them through the driver.
 
 Rows: vectors that are null, empty, zero or hold null or non-finite components link with nothing;
 vectors of different lengths don't link; equal rows (equal ids too) are linked to each other;
@@ -198,7 +200,7 @@ def table_pairs(entries: DataFrame, centre: np.ndarray, projection: np.ndarray,
         return rows.select(F.col("code").alias(name), "t", F.col("v").bitwiseXOR(F.col("f")).alias("v"))
 
     apart = F.bit_count(F.col("ca").bitwiseXOR(F.col("cb")))
-    met = listed("ca", far).join(listed("cb", near), ["t", "v"]).where((F.col("ca") < F.col("cb")) & (apart <= radius))
+    met = listed("ca", far).join(listed("cb", near).hint("merge"), ["t", "v"]).where((F.col("ca") < F.col("cb")) & (apart <= radius))
     # the first table in which the substrings are near enough, and one value there
     first = F.lit(len(tables))
     value = F.lit(-1).cast("long")
@@ -263,12 +265,28 @@ def block_pairs(entries: DataFrame, threshold: float, count: int, size: int) ->
     return spread.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(run, "a long, b long")
 
 
+def sample_of(entries: DataFrame, count: int) -> np.ndarray:
+    """The ``SAMPLE`` vectors of least hash among ``count``, by hash; all, if there are fewer.
+
+    Hashes are spread evenly, so a bound on them leaves about half as many again as are wanted, and no
+    partition sends the driver a sample of its own.
+    """
+    wanted, share = min(SAMPLE, count), 1.5 * SAMPLE / max(count, 1)
+    while True:
+        low = entries.select("node", "unit", F.xxhash64("node").alias("h"))
+        if share < 1:
+            low = low.where(F.col("h") < int(share * 2**64) - 2**63)
+        rows = low.orderBy("h", "node").limit(SAMPLE).select("unit").toArrow()
+        if share >= 1 or rows.num_rows >= wanted:
+            return matrix(rows.column(0))
+        share *= 4
+
+
 def linked_pairs(entries: DataFrame, threshold: float, bits: int, count: int, size: int, work: Work) -> DataFrame:
     """Pairs a < b of entries (node, unit: vector of length one) with cosine at or above the threshold."""
-    sample = entries.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("unit").toPandas()
-    if len(sample) < 2:
+    x = sample_of(entries, count)
+    if len(x) < 2:
         return entries.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    x = np.stack(sample["unit"].to_numpy())
     centre, projection = projection_of(x, bits)
     plan = fit_tables(x, threshold, centre, projection)
     candidates = table_pairs(entries, centre, projection, plan, work) if plan else block_pairs(entries, threshold, count, size)

@@ -119,6 +119,25 @@ def test_tables_give_each_near_pair_once(spark, plan):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_sample_and_table_values_stay_off_the_driver(spark, monkeypatch):
+    """Few more vectors than the sample are read for it, and lists of table values are never broadcast."""
+    monkeypatch.setattr(itq_near_dup, "SAMPLE", 50)
+    rows = [(i, [float(i), 1.0]) for i in range(4000)]
+    frame = spark.createDataFrame(rows, "node long, unit array<double>").repartition(8)
+    seen = []
+    limit = type(frame).limit
+    monkeypatch.setattr(type(frame), "limit", lambda df, n: seen.append(df.count()) or limit(df, n))
+    got = itq_near_dup.sample_of(frame, 4000)
+    monkeypatch.undo()
+    want = [r[0][0] for r in frame.orderBy(F.xxhash64("node"), "node").limit(50).select("unit").collect()]
+    assert got[:, 0].tolist() == want and sum(seen) < 200
+    x = np.random.default_rng(14).normal(size=(60, 64))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, unit array<double>")
+    found = itq_near_dup.table_pairs(frame, *itq_near_dup.projection_of(x, 64), (16, 3, 64), Work(spark, "t"))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate" in plan and not [p for p in plan.split("BroadcastHashJoin")[1:] if "[t#" in p.split("\n")[0]]
+
+
 def test_blocks_give_each_linked_pair_once(spark, monkeypatch):
     monkeypatch.setattr(itq_near_dup, "BLOCK", 64)
     x = np.random.default_rng(13).normal(size=(400, 5))

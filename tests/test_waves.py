@@ -6,6 +6,7 @@ import os
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from modelgov.plans import registry
 
@@ -35,3 +36,20 @@ def test_files_of_one_wave_are_on_disk_at_a_time(spark, monkeypatch, name, endin
     monkeypatch.setattr(waves, "remove_named_files", lambda s, path: seen.append(files_below(shared, ending)) or remove(s, path))
     assert rows(registry.run(name, spark, SF_DIR)) == whole
     assert len(seen) > 3 and max(seen) < sum(seen) == sum(whole.values()) and files_below(shared, ending) == 0
+
+
+def test_shuffles_are_released_when_their_job_ends(spark):
+    def shuffle_files() -> int:
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum("shuffle_" in found.apply(k).getName() for k in range(found.size()))
+
+    spark.conf.unset("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    registry.QUERIES["probe"] = lambda ctx: ctx.spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    try:
+        df = registry.run("probe", spark, SF_DIR)
+        before = shuffle_files()
+        assert sorted(r["count"] for r in df.collect()) == [142, 143, 143, 143, 143, 143, 143]
+        assert df.count() == 7 and df.collect() == df.collect()
+        assert shuffle_files() <= before
+    finally:
+        del registry.QUERIES["probe"]
